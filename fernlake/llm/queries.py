@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm import bpe, huffman, simhash, token_counts, warc
+from fernlake.llm import bpe, huffman, simhash, substring_dedup, token_counts, warc
 
 #: Where the public vocabulary files are; a parameter of the operators.
 TOKENIZERS = os.environ.get("FERNLAKE_TOKENIZERS", "/opt/tokenizers")
@@ -26,6 +26,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
 
@@ -44,7 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_files, op6_token_counts, op7_warc, op8_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op2_token_files, op4_substring_dedup, op6_token_counts, op7_warc, op8_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
