@@ -18,12 +18,17 @@ RUN = re.compile(f"[{WHITE}]+")
 WHITE_ODD = [c for c in WHITE if not c.isascii()] + ["\x1c", "\x1d", "\x1e", "\x1f"]
 
 
+def is_odd(text: str) -> bool:
+    """Whether the text has white space other than single spaces and line feeds between other characters."""
+    return text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(c in text for c in ODD)
+
+
 def chunks(text: str) -> list[str]:
     if not text:
         return []
-    if text[0] in " \n" or text[-1] in " \n" or any(c in text for c in ODD):
+    if is_odd(text):
         return CHUNK.findall(text)
-    return [c for c in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")]
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
 def spaced(text: str) -> list[str]:

@@ -27,53 +27,83 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernlake.llm.chunks import Cache, chunks
+from fernlake.llm.chunks import CHUNK, is_odd
 from fernlake.llm.common import fresh_path, groups_by_size, materialise, read_file, rows_of, write_file
 
 MAGIC = b"FLHUF001"
 LIMIT = 16
 BLOCK = 512
 FILE_IDS = 8_000_000
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 16 << 20
+#: Chunks that one call encodes together.
+LINES = 200
 
 
 class ByteBpe:
-    """The tokenizers library behind a cache of chunks."""
+    """The tokenizers library behind a cache of chunks; batches are cut and numbered by Arrow."""
 
-    def __init__(self, path: str, entries: int = 400_000) -> None:
+    def __init__(self, path: str, entries: int = 800_000, longest: int = 64) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.unit = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.cache = Cache(self._fill, entries)
+        self.entries, self.longest = entries, longest
+        self.kept: dict[str, bytes] = {}
 
-    def _fill(self, new: list[str]) -> list[bytes]:
+    def raw(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.unit).tobytes()
+
+    def _work(self, new: list[str]) -> dict[str, bytes]:
         """Line feeds never join other pre-tokens here, so many chunks are encoded as lines of one text."""
         found: dict[str, bytes] = {}
         lines = [c for c in new if c.strip() and "\n" not in c]
-        for i in range(0, len(lines), 2000):
-            part = lines[i : i + 2000]
-            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, np.uint32)
+        parts = [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
+        for part, coded in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, self.unit)
             ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
             if len(ends) != len(part):
                 raise ValueError("a chunk's ids hold a line feed")
-            raw, start = ids.astype("<u4").tobytes(), 0
+            raw, start, size = ids.tobytes(), 0, ids.itemsize
             for chunk, end in zip(part, ends, strict=True):
-                found[chunk] = raw[4 * start : 4 * end]
+                found[chunk] = raw[size * start : size * end]
                 start = end + 1
         for chunk in new:
             if chunk not in found:
-                found[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        return [found[c] for c in new]
+                found[chunk] = self.raw(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        return found
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        rows = [chunks(t) for t in texts]
-        known = self.cache.of(rows)
-        return [b"".join(map(known, row)) for row in rows]
+        """The ids of each text, in numbers of the width of unit."""
+        cut = [t if "\0" in t else "\0".join(CHUNK.findall(t)) if is_odd(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ") for t in texts]
+        lists = pc.split_pattern(pa.array(["" if "\0" in t else c for t, c in zip(texts, cut, strict=True)], pa.large_string()), "\0")
+        numbered = lists.flatten().dictionary_encode()
+        names, kept = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), self.kept
+        new = [c for c in names if c not in kept]
+        passing = self._work(new)
+        own = [kept[c] if c in kept else passing[c] for c in names]
+        for c in new:
+            if len(kept) >= self.entries:
+                break
+            if len(c) <= self.longest:
+                kept[c] = passing[c]
+        pool = np.frombuffer(b"".join(own), self.unit)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // pool.itemsize
+        at = np.cumsum(size) - size
+        index = numbered.indices.to_numpy()
+        lengths = size[index]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        places = np.arange(ends[-1]) + np.repeat(at[index] - ends[:-1], lengths)
+        raw, width = pool[places].tobytes(), pool.itemsize
+        borders = (ends[lists.offsets.to_numpy()] * width).tolist()
+        out = [raw[a:b] for a, b in zip(borders, borders[1:], strict=False)]
+        # A text that holds the mark of the cuts is encoded as it is.
+        return [self.raw(self.tokenizer.encode(t, add_special_tokens=False).ids) if "\0" in t else ids for t, ids in zip(texts, out, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -121,13 +151,13 @@ def canonical(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return symbols, lengths, codes
 
 
-def pack(documents: list[tuple[int | None, bytes]], lengths: np.ndarray) -> bytes:
-    """A file's bytes from (doc_id, ids); lengths has the code length of every id."""
+def pack(documents: list[tuple[int | None, bytes]], lengths: np.ndarray, unit: str = "<u4") -> bytes:
+    """A file's bytes from (doc_id, ids in numbers of kind unit); lengths has the code length of every id."""
     symbols = np.flatnonzero(lengths).astype(np.uint32)
     sym, lens, codes = canonical(symbols, lengths[symbols])
     code_of, length_of = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
     code_of[sym], length_of[sym] = codes.astype(np.uint64), lens
-    ids = np.frombuffer(b"".join(i for _, i in documents), "<u4")
+    ids = np.frombuffer(b"".join(i for _, i in documents), unit)
     bits = length_of[ids]
     if len(ids) and not bits.all():
         raise ValueError("an id has no code")
@@ -142,7 +172,7 @@ def pack(documents: list[tuple[int | None, bytes]], lengths: np.ndarray) -> byte
     offsets = starts[::BLOCK].astype("<u8")
     ids_of = np.array([d or 0 for d, _ in documents], "<i8")
     nulls = np.array([d is None for d, _ in documents], np.uint8)
-    counts = np.array([len(i) // 4 for _, i in documents], "<u8")
+    counts = np.array([len(i) // ids.itemsize for _, i in documents], "<u8")
     head = np.array([len(documents), len(ids), len(offsets), size, len(symbols), BLOCK], "<u8")
     return b"".join([MAGIC, head.tobytes(), symbols.astype("<u4").tobytes(), lengths[symbols].astype(np.uint8).tobytes(), ids_of.tobytes(), nulls.tobytes(), counts.tobytes(), offsets.tobytes(), payload.astype("<u4").tobytes()])
 
@@ -192,28 +222,28 @@ def decode(payload: np.ndarray, offsets: np.ndarray, n_ids: int, symbols: np.nda
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, text: str = "text") -> DataFrame:
-    """doc_id, n (ids) and ids of each document, the end id included."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-    end = np.array([end_id], "<u4").tobytes()
+    """doc_id and ids of each document, the end id included, in numbers of the tokenizer's unit."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
         for group in groups_by_size(rows_of(batches, "doc_id", "text"), lambda r: len(r[1] or b"") + 64, GROUP_BYTES):
+            end = model.raw([end_id])
             ids = [i + end for i in model.encode_batch([(t or b"").decode() for _, t in group])]
-            yield pa.record_batch([pa.array([d for d, _ in group], pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+            yield pa.record_batch([pa.array([d for d, _ in group], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, unit: str = "<u4") -> DataFrame:
     """id and its count over all documents; each task sends one row per id at most."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(raw, "<u4"), minlength=len(total))
+            for group in groups_by_size(zip(batch.column(0).to_pylist(), strict=True), lambda r: len(r[0]), GROUP_BYTES):
+                found = np.bincount(np.frombuffer(b"".join(raw for (raw,) in group), unit), minlength=len(total))
                 found[: len(total)] += total
                 total = found
         used = np.flatnonzero(total)
@@ -230,7 +260,8 @@ def write_files(docs: DataFrame, path: str, end_id: int, text: str = "text", to:
     spark = docs.sparkSession
     to = to or fresh_path(spark, "token-files")
     tokens = materialise(tokenised(docs, path, end_id, text), "tokens")
-    counts = {r["id"]: r["n"] for r in id_counts(tokens).collect()}
+    unit = tokenizer(path).unit
+    counts = {r["id"]: r["n"] for r in id_counts(tokens, unit).collect()}
     if not counts:
         return to, []
     table = np.zeros(max(counts) + 1, np.int64)
@@ -238,6 +269,7 @@ def write_files(docs: DataFrame, path: str, end_id: int, text: str = "text", to:
     lengths = code_lengths(table)
     shared = spark.sparkContext.broadcast(lengths.tobytes())
     parts = max(int(table.sum()) // (FILE_IDS // 2), spark.sparkContext.defaultParallelism)
+    width = np.dtype(unit).itemsize
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +277,10 @@ def write_files(docs: DataFrame, path: str, end_id: int, text: str = "text", to:
 
         part = TaskContext.get().partitionId()
         lens = np.frombuffer(shared.value, np.uint8)
-        for seq, group in enumerate(groups_by_size(rows_of(batches, "doc_id", "ids"), lambda r: len(r[1]) // 4, FILE_IDS)):
+        for seq, group in enumerate(groups_by_size(rows_of(batches, "doc_id", "ids"), lambda r: len(r[1]) // width, FILE_IDS)):
             name = f"{to}/part-{part:06d}-{seq:04d}.huf"
-            write_file(name, [pack(group, lens)])
-            yield pa.record_batch([[part], [seq], [name], [len(group)], [sum(len(i) for _, i in group) // 4]], schema=schema)
+            write_file(name, [pack(group, lens, unit)])
+            yield pa.record_batch([[part], [seq], [name], [len(group)], [sum(len(i) for _, i in group) // width]], schema=schema)
 
     ordered = tokens.select("doc_id", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     files = ordered.mapInArrow(run, "part long, seq long, file string, docs long, ids long").collect()
