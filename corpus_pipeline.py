@@ -1,12 +1,63 @@
-"""The corpus pipeline: documents in, cleaned and encoded documents out."""
+"""The corpus pipeline: documents in, cleaned and encoded documents out.
+
+Each stage takes all rows its predecessor kept and decides for every row; rows
+are told apart by doc_id, or, where doc_ids are null or repeat, by their order.
+All stages but the last keep the columns of documents, whichever they are; the
+last gives doc_id, n_tokens and the digests of the ids and of the decoded text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fernlake.llm import bpe, decontaminate, resample, simhash, substring_dedup
+from fernlake.llm.common import materialise, unique_ids
+from fernlake.llm.queries import TOKENIZERS
+
+
+def keep(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows whose __id is among ids ("left_semi") or is not ("left_anti"), without __id."""
+    return rows.join(ids, "__id", how).drop("__id")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling does not select go."""
+    rows = unique_ids(docs)
+    found = resample.resampled(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), key="__id")
+    return keep(rows, found.where(~F.col("selected")).select(F.col("row_key").alias("__id")), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the first document stays."""
+    rows = unique_ids(docs)
+    groups = simhash.near_groups(rows.select(F.col("__id").alias("doc_id"), "text"))
+    return keep(rows, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")), "left_anti")
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated windows of words are cut from the texts."""
+    return substring_dedup.applied(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item go."""
+    rows = unique_ids(docs)
+    found = decontaminate.contained(rows.select(F.col("__id").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keep(rows, found.select(F.col("doc_id").alias("__id")), "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encoded(docs, f"{TOKENIZERS}/word_bpe_49k.json")
 
-from fernlake.llm.common import materialise
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality),
+    ("simhash near-dedup", near_duplicates),
+    ("substring dedup", substrings),
+    ("benchmark decontamination", benchmark),
+    ("bpe encoding", encode),
+]
 #: The stages are models, hashes and encoders that SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 

@@ -67,6 +67,15 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def unique_ids(docs: DataFrame, name: str = "__id") -> DataFrame:
+    """The rows with a unique long that sorts like doc_id, then text: doc_id itself unless it has nulls or repeats."""
+    own = docs.withColumn(name, F.col("doc_id").cast("long"))
+    if own.groupBy(name).count().where(F.col(name).isNull() | (F.col("count") > 1)).isEmpty():
+        return own
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    return materialise(ordered.withColumn(name, F.monotonically_increasing_id()), "ids")
+
+
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     column = batch.column(batch.schema.get_field_index(name))
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

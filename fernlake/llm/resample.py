@@ -113,22 +113,22 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id, lw (log-weight in thousandths), tie (a hash of doc_id and text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("lw", pa.int64()), ("tie", pa.int64())])
+    """doc_id, row_key, lw (log-weight in thousandths), tie (a hash of doc_id and text)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "row_key", "lw", "tie")])
     shared = docs.sparkSession.sparkContext.broadcast(ratios.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.int64)
-        for group in groups_by_size(rows_of(batches, "doc_id", "text"), lambda r: len(r[1] or b"") + 64, GROUP_BYTES):
-            texts = [t or b"" for _, t in group]
+        for group in groups_by_size(rows_of(batches, "doc_id", "row_key", "text"), lambda r: len(r[2] or b"") + 64, GROUP_BYTES):
+            texts = [t or b"" for _, _, t in group]
             found = [ngrams(t) for t in texts]
             first, second = buckets(np.concatenate(found))
             owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
             lw = np.bincount(owner, np.maximum(table[first], table[second]), len(group)).astype(np.int64)
-            tie = np.array([xxhash.xxh3_64_intdigest(t, (d or 0) + SEED & (1 << 64) - 1) for (d, _), t in zip(group, texts, strict=True)], np.uint64).view(np.int64)
-            yield pa.record_batch([pa.array([d for d, _ in group], pa.int64()), pa.array(lw), pa.array(tie)], schema=schema)
+            tie = np.array([xxhash.xxh3_64_intdigest(t, (d or 0) + SEED & (1 << 64) - 1) for (d, _, _), t in zip(group, texts, strict=True)], np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array([d for d, _, _ in group], pa.int64()), pa.array([k for _, k, _ in group], pa.int64()), pa.array(lw), pa.array(tie)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lw long, tie long")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, lw long, tie long")
 
 
 def gumbel_key(temperature: float) -> F.Column:
@@ -162,12 +162,12 @@ def top_k(keys: DataFrame, k: int) -> DataFrame:
     return keys.withColumn("selected", (F.col("key") > key) | ((F.col("key") == key) & (F.col("tie") >= tie)))
 
 
-def resampled(docs: DataFrame, labels: DataFrame, text: str = "text", k: int | None = None, most_labelled: int = MOST_LABELLED, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, log_weight, gumbel_key, selected for every document; k: how many to select, if not the sum of the weights."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def resampled(docs: DataFrame, labels: DataFrame, text: str = "text", k: int | None = None, most_labelled: int = MOST_LABELLED, temperature: float = TEMPERATURE, key: str = "doc_id") -> DataFrame:
+    """doc_id, row_key (the column named by key), log_weight, gumbel_key, selected for every document; k: how many to select, if not the sum of the weights."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).cast("long").alias("row_key"), F.col(text).cast("string").alias("text"))
     target = sample_of_target(labels, most_labelled)
     ratios = log_ratios(*count_ngrams(base, target))
     keys = materialise(weights(base, ratios).withColumn("key", gumbel_key(temperature)), "weights")
     if k is None:
         k = int(keys.agg(F.sum(F.round(F.exp(F.col("lw") / (1000.0 * temperature)) * 1000).cast("long"))).first()[0] or 0) // 1000
-    return top_k(keys, k).select("doc_id", (F.col("lw") / 1000.0).alias("log_weight"), (F.col("key") / 1e6).alias("gumbel_key"), "selected", "tie")
+    return top_k(keys, k).select("doc_id", "row_key", (F.col("lw") / 1000.0).alias("log_weight"), (F.col("key") / 1e6).alias("gumbel_key"), "selected")

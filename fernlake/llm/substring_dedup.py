@@ -11,25 +11,43 @@ taken for repeats wrongly.
 Null texts have no words.  A null doc_id comes before all others.  Texts that
 share a doc_id are ordered by a hash of the text; rows that agree in both are
 one document, and all get its result.  Columns other than doc_id and text are
-not read by `removals`; `apply` keeps every column.
+not read by `removals`; `applied` keeps every column.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fernlake.llm import windows
-from fernlake.llm.common import groups_by_size, keyed, rows_of
+from fernlake.llm.common import groups_by_size, keyed, rows_of, unique_ids
 
 WIDTH = 20
 
 
+WORD = re.compile(rb"[^ \t\n\x0b\f\r]+")
+
+
+def cut(text: bytes, gone: np.ndarray) -> bytes:
+    """The text without the words marked, and without the space after each run of them."""
+    if not gone.any():
+        return text
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    turn = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
+    out, at = [], 0
+    for a, b in zip(turn[::2], turn[1::2], strict=True):
+        out.append(text[at : starts[a]])
+        at = starts[b]
+    return b"".join([*out, text[at:]])
+
+
 def word_units(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -74,7 +92,7 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def removals(docs: DataFrame, width: int = WIDTH, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, spans (start and end of each interval, in words), and with keep_text the words left."""
+    """doc_id, n_words, n_removed, kept_sha256, spans (start and end of each interval, in words), and with keep_text the text without them."""
     base = keyed(docs, text)
     joined = windows.with_places(base, repeated(base, width))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))] + ([("kept", pa.string())] if keep_text else []))
@@ -84,7 +102,7 @@ def removals(docs: DataFrame, width: int = WIDTH, text: str = "text", keep_text:
         gone = windows.covered(windows.places(raw), width, len(words))
         turn = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
         left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if raw is not None else b" ".join(words)
-        return (doc_id, len(words), int(gone.sum()), hashlib.sha256(left).hexdigest(), turn.reshape(-1, 2).tolist(), *([left.decode()] if keep_text else []))
+        return (doc_id, len(words), int(gone.sum()), hashlib.sha256(left).hexdigest(), turn.reshape(-1, 2).tolist(), *([None if text is None else cut(text, gone).decode()] if keep_text else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_by_size(rows_of(batches, "doc_id", "text", "places"), lambda r: len(r[1] or b"") + 64, 4 << 20):
@@ -93,3 +111,12 @@ def removals(docs: DataFrame, width: int = WIDTH, text: str = "text", keep_text:
 
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<bigint>>" + (", kept string" if keep_text else "")
     return joined.select("doc_id", "text", "places").mapInArrow(run, kinds)
+
+
+def applied(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows with the repeats cut from their text and n_chars, if there, counted anew; texts that lose every word go."""
+    rows = unique_ids(docs)
+    left = removals(rows.select(F.col("__id").alias("doc_id"), "text"), width, keep_text=True)
+    left = left.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), F.col("n_removed").alias("__gone"), F.col("n_words").alias("__words")).where("__gone = 0 or __gone < __words")
+    columns = [F.col("__kept").alias("text") if c == "text" else F.when(F.col("__gone") > 0, F.length("__kept").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return rows.join(left, "__id").select(*columns)
