@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm import bpe, decontaminate, huffman, resample, simhash, substring_dedup, token_counts, warc
+from fernlake.llm import bpe, decontaminate, huffman, quality_rules, resample, simhash, substring_dedup, token_counts, warc
 
 #: Where the public vocabulary files are; a parameter of the operators.
 TOKENIZERS = os.environ.get("FERNLAKE_TOKENIZERS", "/opt/tokenizers")
@@ -52,6 +52,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -73,7 +77,7 @@ GROUP BY d.doc_id, b.item_id HAVING count(*) >= 0.8 * any_value(n.n)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_resample, op4_substring_dedup, op6_token_counts, op7_warc, op8_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_resample, op4_substring_dedup, op6_token_counts, op7_warc, op8_simhash, op9_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
