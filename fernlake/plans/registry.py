@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fernlake.plans import lake_queries, relational
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+flagship = lake_queries.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return relational.queries() | lake_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return relational.oracle_sql() | lake_queries.oracle_sql()
