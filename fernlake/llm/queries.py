@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm import bpe, decontaminate, huffman, quality_rules, resample, simhash, substring_dedup, token_counts, warc
+from fernlake.llm import bpe, decontaminate, huffman, quality_rules, resample, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 #: Where the public vocabulary files are; a parameter of the operators.
 TOKENIZERS = os.environ.get("FERNLAKE_TOKENIZERS", "/opt/tokenizers")
@@ -39,6 +39,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
 
@@ -77,7 +81,7 @@ GROUP BY d.doc_id, b.item_id HAVING count(*) >= 0.8 * any_value(n.n)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_resample, op4_substring_dedup, op6_token_counts, op7_warc, op8_simhash, op9_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_resample, op4_substring_dedup, op5_suffix_dedup, op6_token_counts, op7_warc, op8_simhash, op9_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
