@@ -1,8 +1,7 @@
 """SimHash fingerprints and near-duplicate groups by meet-in-the-middle ball hashing.
 
-Two fingerprints at most `radius` bits apart have a common variant within half
-the radius of each.  Every distinct fingerprint emits its variants within
-radius // 2 bits (1 + 64 for radius 2); fingerprints that meet at a variant are
+Two fingerprints at most two bits apart have a common variant within one bit of
+each.  Every distinct fingerprint emits its variants within one bit (1 + 64); fingerprints that meet at a variant are
 checked and linked.  A variant's group can't hold more than the variants of one
 fingerprint (65), whatever the number of documents, and all its members lie
 within the radius of each other, so linking each to the least one loses no
@@ -69,28 +68,21 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def ball(fp: str, half: int) -> F.Column:
-    """All values within half (0 or 1) bits of a fingerprint, as an array."""
-    own = F.array(F.col(fp))
-    if half == 0:
-        return own
-    if half == 1:
-        return F.concat(own, F.array(*[F.col(fp).bitwiseXOR(F.lit((1 << b) - (1 << 64 if b == 63 else 0))) for b in range(64)]))
-    raise ValueError("radius up to 3 is supported")
-
-
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that together connect all pairs at most radius bits apart."""
-    if radius % 2:
-        raise ValueError("the radius must be even: both sides emit half of it")
-    distinct = prints.select("fp").distinct()
-    variants = distinct.select("fp", F.explode(ball("fp", radius // 2)).alias("variant"))
-    met = variants.groupBy("variant").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    pairs = met.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    # Variants where three or more meet: each member to the least, found again by its variants.
-    more = variants.join(met.where("n > 2").select("variant", "lo"), "variant").where("fp <> lo").select(F.col("lo").alias("a"), F.col("fp").alias("b"))
-    found = pairs.union(more).distinct()
-    return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    """Links (a, b) between distinct fingerprints that together connect all pairs at most radius (0 or 2) bits apart."""
+    if radius not in (0, 2):
+        raise ValueError("radius 0 or 2: each side emits the variants within half of it")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A number of partitions that is not merged: each fingerprint becomes 65 rows.
+    distinct = prints.select("fp").distinct().repartition(parts, "fp")
+    flips = [0, *((1 << b) - (1 << 64 if b == 63 else 0) for b in range(64))][: 65 if radius else 1]
+    variants = distinct.select("fp", F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "flip")
+    # A member of a variant's group is the variant with one bit flipped, or itself: a mask and a flag hold the group.
+    met = variants.groupBy("variant").agg(F.bit_or("flip").alias("mask"), F.max(F.col("flip") == 0).alias("own"))
+    met = met.where(F.bit_count("mask") + F.col("own").cast("int") > 1)
+    members = F.filter(F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: F.when(F.when(f == 0, F.col("own")).otherwise(F.col("mask").bitwiseAND(f) != 0), F.col("variant").bitwiseXOR(f))), lambda x: x.isNotNull())
+    stars = met.select(members.alias("m")).select(F.array_min("m").alias("a"), F.explode("m").alias("b")).where("a <> b").distinct()
+    return stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 2, text: str = "text") -> DataFrame:
