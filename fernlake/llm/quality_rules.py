@@ -115,7 +115,8 @@ def nearest(binned: DataFrame, part: float, value: str = "bin") -> DataFrame:
         seen = acc["seen"] + x["n"]
         return F.struct(seen.alias("seen"), F.coalesce(acc["cut"], F.when(seen >= F.ceil(F.lit(part) * F.col("all")), x["b"].cast("long"))).alias("cut"))
 
-    return listed.select("g", F.aggregate("bins", start, step)["cut"].alias("cut"))
+    # Written, so that its size is known and rows meet it without being dealt out by group.
+    return materialise(listed.select("g", F.aggregate("bins", start, step)["cut"].alias("cut")), "cuts")
 
 
 def start(vectors: DataFrame) -> DataFrame:
