@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm.common import fresh_path, groups_by_size, read_file, rows_of, write_file
+from fernlake.llm.common import fresh_path, groups_by_size, materialise, read_file, rows_of, write_file
 
 #: Header fields by version (fixed values of the format).
 FIELDS = {
@@ -58,16 +58,16 @@ def safe(field: str) -> str:
 # --- ARC ---------------------------------------------------------------------
 
 
-def arc_file(name: str, version: int, records: list[tuple[str, str, str, str, bytes]]) -> bytes:
-    """An ARC file from (url, ip, date, type, body)."""
+def arc_file(name: str, version: int, records: list[tuple[str, str, str, str, bytes]]) -> list[bytes]:
+    """The records of an ARC file, its version block first, from (url, ip, date, type, body)."""
     about = f"{version} 0 fernlake\n{' '.join(FIELDS[version])}\n".encode()
-    parts = [arc_header(version, f"filedesc://{name}", "0.0.0.0", NO_DATE, "text/plain", about, 0, name), about, b"\n"]
-    at = sum(map(len, parts))
+    parts = [arc_header(version, f"filedesc://{name}", "0.0.0.0", NO_DATE, "text/plain", about, 0, name) + about + b"\n"]
+    at = len(parts[0])
     for url, ip, date, kind, body in records:
         head = arc_header(version, url, ip, date, kind, body, at, name)
-        parts += [head, body, b"\n"]
-        at += len(head) + len(body) + 1
-    return b"".join(parts)
+        parts.append(head + body + b"\n")
+        at += len(parts[-1])
+    return parts
 
 
 def arc_header(version: int, url: str, ip: str, date: str, kind: str, body: bytes, offset: int, name: str) -> bytes:
@@ -168,7 +168,7 @@ RECORD = "id long, url string, date string, kind string, status string, body bin
 
 
 def write_arc(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", version: int = 2, date: str | None = None) -> list[str]:
-    """ARC files of a table, their names; the id goes into the URL's fragment."""
+    """ARC files of a table, a gzip member per record, and their names; the id goes into the URL's fragment."""
     to = fresh_path(pages.sparkSession, "arc")
     schema = pa.schema([("file", pa.string())])
 
@@ -177,9 +177,9 @@ def write_arc(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
 
         part = TaskContext.get().partitionId()
         for seq, group in enumerate(groups_by_size(rows_of(batches, "id", "url", "date", "text"), lambda r: len(r[3] or b"") + 256, FILE_BYTES)):
-            name = f"part-{part:06d}-{seq:04d}.arc"
+            name = f"part-{part:06d}-{seq:04d}.arc.gz"
             records = [(f"{u or 'urn:none'}#fernlake-id={'' if i is None else i}", "0.0.0.0", d or NO_DATE, "text/html", t or b"") for i, u, d, t in group]
-            write_file(f"{to}/{name}", [arc_file(name, version, records)])
+            write_file(f"{to}/{name}", [gzip_member(r) for r in arc_file(name, version, records)])
             yield pa.record_batch([[f"{to}/{name}"]], schema=schema)
 
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), (F.col(date).cast("string") if date else F.lit(None).cast("string")).alias("date"), F.col(payload).cast("string").alias("text"))
@@ -191,7 +191,7 @@ def read_arc(spark: SparkSession, files: list[str]) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), *((c, pa.string()) for c in ("url", "date", "kind", "status")), ("body", pa.binary()), ("digest", pa.string())])
 
     def rows(name: str) -> Iterator[tuple]:
-        for r in parse_arc(read_file(name)):
+        for r in parse_arc(b"".join(members(read_file(name)))):
             url, _, tag = r["URL"].rpartition("#fernlake-id=")
             yield (int(tag) if tag.lstrip("-").isdigit() and url else None, url or r["URL"], r["Archive-date"], r["Content-type"], r.get("Result-code", "200"), r["body"], sha1_base32(r["body"]))
 
@@ -209,6 +209,7 @@ def convert(records: DataFrame, revisit_from: int = 0) -> list[str]:
     to = fresh_path(records.sparkSession, "warc")
     # Rows of one payload meet only as pre-aggregated maxima; the join back is against one row a digest.
     newest = records.where(F.octet_length("body") >= revisit_from).groupBy("digest").agg(F.max(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("id"), F.col("url"), F.col("date"))).alias("newest"))
+    newest = materialise(newest, "newest")  # whether it may be broadcast is for its true size to say
     joined = records.join(newest, "digest", "left").select("id", "url", "date", "kind", "status", F.col("body").alias("text"), "digest", F.col("newest.id").alias("to_id"), F.col("newest.url").alias("to_url"), F.col("newest.date").alias("to_date"))
     schema = pa.schema([("file", pa.string())])
 
