@@ -173,9 +173,18 @@ def shard_transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     body = np.ones(n, bool)
     body[ends] = False
     symbols[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    rank = symbols + len(texts) - 1
-    rank[ends] = np.arange(len(texts))  # ends differ, in the order of the texts
-    size = 1
+    # Ranks by the first symbols, as many as fit a number; what follows an end does not count.
+    size, rank, open_ = 0, np.zeros(n, np.int64), np.ones(n, bool)
+    while size < 6:
+        step = np.zeros(n, np.int64)
+        step[: n - size] = symbols[size:]
+        rank = rank * 257 + np.where(open_, step, 0)
+        open_ &= step > 0
+        size += 1
+    rank = rank * (len(texts) + 1)
+    # Where an end is among them, the texts' order decides; ends differ.
+    text = np.repeat(np.arange(len(texts)), np.diff(np.append(-1, ends)))
+    rank += np.where(open_, 0, text + 1)
     order = np.argsort(rank, kind="stable")
     while True:
         ordered = rank[order]
@@ -197,31 +206,34 @@ def shard_transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def merge_transforms(transforms: list[np.ndarray], texts: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave the shards' suffixes by their first width symbols: (place in the shards, one after another; block) in merged order.
 
+    Shards keep their own order throughout, so a round's interleave follows from the last one and the transforms alone.
+
     transforms: of the shards; texts: how many each holds, whose ends come first.
     """
     sizes = np.array([len(t) for t in transforms], np.int64)
-    symbols = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms)), sizes).astype(np.uint16)
+    base = np.cumsum(sizes) - sizes
+    # Few symbols occur at a time: numbered densely they sort in one pass.
+    names, symbols = np.unique(np.concatenate(transforms), return_inverse=True)
+    symbols = symbols.astype(np.uint8 if len(names) <= 256 else np.uint16)
+    # Within its shard, the suffix one symbol longer: the shard's own transform, inverted.
+    longer = np.empty(len(symbols), np.int32)
+    for b, t in zip(base.tolist(), transforms, strict=True):
+        longer[b + np.argsort(t, kind="stable")] = b + np.arange(len(t))
     ends = int(sum(texts))
     # The suffixes that begin with an end come first, in a fixed order, each alone in its block.
-    first = np.repeat(np.arange(len(texts)), texts).astype(np.uint16)
-    block = np.zeros(len(symbols), np.int64)
+    first = np.concatenate([b + np.arange(t) for b, t in zip(base.tolist(), texts, strict=True)]).astype(np.int32)
+    at = np.arange(len(symbols), dtype=np.int32)
+    block = np.zeros(len(symbols), np.int32)
     for _ in range(width):
-        # Shards keep their own order, so the interleave alone says which suffix stands where.
-        place = np.argsort(shard, kind="stable")
-        at = np.empty(len(symbols), np.int64)
-        at[place] = np.arange(len(symbols))
+        # The suffixes one symbol longer, by that symbol and then as they were.
         merged = symbols[at]
-        order = np.argsort(merged, kind="stable")[ends:]  # the suffixes before those, by their first symbol
+        order = np.argsort(merged, kind="stable")[ends:]
         ordered, held = merged[order], block[order]
-        split = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | (held[1:] != held[:-1])]) if len(order) else np.zeros(0, bool)
-        shard = np.concatenate([first, shard[order]])
-        block = np.concatenate([np.arange(ends), ends - 1 + np.cumsum(split)])
-        if len(block) and block[-1] == len(block) - 1:
+        split = (ordered[1:] != ordered[:-1]) | (held[1:] != held[:-1])
+        at = np.concatenate([first, longer[at[order]]])
+        block = np.concatenate([np.arange(ends, dtype=np.int32), np.cumsum(np.concatenate([[True], split]), dtype=np.int32) + np.int32(ends - 1)]) if len(order) else np.arange(ends, dtype=np.int32)
+        if block[-1] == len(block) - 1:
             break
-    place = np.argsort(shard, kind="stable")
-    at = np.empty(len(symbols), np.int64)
-    at[place] = np.arange(len(symbols))
     return at, block
 
 
