@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm import bpe, decontaminate, resample, simhash, substring_dedup
+from fernlake.llm import bpe, decontaminate, near_copies, resample, substring_dedup
 from fernlake.llm.common import materialise, unique_ids
 from fernlake.llm.queries import TOKENIZERS
 
@@ -29,9 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the first document stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the first document stays."""
     rows = unique_ids(docs)
-    groups = simhash.near_groups(rows.select(F.col("__id").alias("doc_id"), "text"))
+    groups = near_copies.near_groups(rows.select(F.col("__id").alias("doc_id"), "text"))
     return keep(rows, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")), "left_anti")
 
 
