@@ -30,6 +30,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,8 @@ from pyspark.sql import functions as F
 
 from fernlake.llm.common import groups_by_size, materialise, rows_of
 
-BITS = 17
+#: Buckets a table: few n-grams share one, so a bad one need not outweigh ordinary ones in its bucket.
+BITS = 20
 BUCKETS = 1 << BITS
 SMOOTHING = 3.0
 MARGIN = 1.0
@@ -49,7 +51,11 @@ TEMPERATURE = 0.05
 MOST_LABELLED = 50_000
 SEED = 42
 GROUP_BYTES = 2 << 20
+#: Buckets whose counts are sent together, packed.
+CHUNK = 1 << 13
 TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff \t\n\x0b\f\r]+")
+COUNTS = "chunk int, counts binary"
+COUNTS_SCHEMA = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 FACTOR, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Stands for any token that repeats the one before it.
 REPEAT = np.uint64(0x5851F42D4C957F2D)
@@ -78,27 +84,41 @@ def sample_of_target(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     return good.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts of a chunk, byte plane by byte plane, compressed."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<i8").reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").reshape(2, -1)
+
+
 def count_ngrams(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts by bucket over the target and over all documents; what is sent and collected is bounded by the buckets."""
-    schema = pa.schema([("bucket", pa.int32()), ("target", pa.int64()), ("raw", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 2 * BUCKETS), np.int64)
         for group in groups_by_size(rows_of(batches, "good", "text"), lambda r: len(r[1] or b"") + 64, GROUP_BYTES):
             for kind in (True, False):
                 found = [ngrams(t or b"") for good, t in group if bool(good) is kind]
                 if found:
-                    seen = np.bincount(np.concatenate(buckets(np.concatenate(found))), minlength=2 * BUCKETS)
-                    total[1] += seen
-                    total[0] += seen * kind
-        used = np.flatnonzero(total[1])
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[0][used]), pa.array(total[1][used])], schema=schema)
+                    used, seen = np.unique(np.concatenate(buckets(np.concatenate(found))), return_counts=True)
+                    total[1][used] += seen
+                    total[0][used] += seen * kind
+        chunks = [i for i in range(0, 2 * BUCKETS, CHUNK) if total[1, i : i + CHUNK].any()]
+        yield pa.record_batch([pa.array(chunks, pa.int32()), pa.array([packed(total[:, i : i + CHUNK]) for i in chunks], pa.binary())], schema=COUNTS_SCHEMA)
+
+    def add(key, group):
+        rows = group.column("counts").to_pylist()
+        total = np.zeros((2, CHUNK), np.int64)
+        for r in rows:
+            total += unpacked(r)
+        return pa.table([group.column("chunk")[:1], pa.array([packed(total)], pa.binary())], schema=COUNTS_SCHEMA)
 
     marked = docs.join(F.broadcast(target.withColumn("good", F.lit(True))), docs.doc_id == target.label_id, "left").select("good", "text")
-    counts = marked.mapInArrow(run, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    counts = marked.mapInArrow(run, COUNTS).groupBy("chunk").applyInArrow(add, COUNTS)
     out = np.zeros((2, 2 * BUCKETS), np.int64)
     for r in counts.toLocalIterator():
-        out[:, r["bucket"]] = r["target"], r["raw"]
+        out[:, r["chunk"] : r["chunk"] + CHUNK] = unpacked(r["counts"])
     return out[0], out[1]
 
 
@@ -115,10 +135,10 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     """doc_id, row_key, lw (log-weight in thousandths), tie (a hash of doc_id and text)."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "row_key", "lw", "tie")])
-    shared = docs.sparkSession.sparkContext.broadcast(ratios.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(ratios.astype("<i4").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.int64)
+        table = np.frombuffer(shared.value, "<i4")
         for group in groups_by_size(rows_of(batches, "doc_id", "row_key", "text"), lambda r: len(r[2] or b"") + 64, GROUP_BYTES):
             texts = [t or b"" for _, _, t in group]
             found = [ngrams(t) for t in texts]

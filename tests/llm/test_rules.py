@@ -104,6 +104,16 @@ def test_resampling_by_held_out_labels(spark):
     assert again == found
 
 
+def test_rare_bad_words_among_many_ngrams(spark):
+    """A bad word in 70 of 20,000 documents, with millions of ordinary n-grams to share buckets with."""
+    drawn = np.random.default_rng(6).integers(0, 1 << 40, (20_000, 160)).tolist()
+    rows = [(i, " ".join(f"{x:x}" for x in r) + " vile" * (i % 285 == 1)) for i, r in enumerate(drawn)]
+    bad = {i for i, _ in rows if i % 285 == 1}
+    labels = spark.createDataFrame([(i, 1, int(i in bad)) for i in range(0, 20_000, 2)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"] for r in resample.resampled(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), labels).where("not selected").collect()}
+    assert len(out & bad) >= 0.9 * len(bad) and len(out - bad) <= 20
+
+
 def test_top_k_is_exact(spark):
     rng = random.Random(0)
     rows = [(i, rng.choice([rng.randrange(-(10**9), 10**9), 7, 7, 8]), rng.randrange(-(2**63), 2**63)) for i in range(500)]
