@@ -52,6 +52,23 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert again == found
 
 
+def test_moderate_symbols_go_and_a_repeated_line_stays(spark):
+    """20 to 40 symbols per 100 words are junk; a line that stands twice in a clean text is not."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        words = [rng.choice("abcdefgh") * rng.randrange(2, 9) + str(rng.randrange(10**6)) for _ in range(rng.randrange(100, 400))]
+        text = " ".join(words)
+        if i % 10 == 0:
+            text = " ".join(w + "#" * (rng.random() < 0.3) for w in words)
+        elif i % 10 == 1:
+            text += "\n" + "\n".join([" ".join(words[:8]) + " end"] * 2)
+        rows.append((i, text, "en", "s0"))
+    found = quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()
+    out, junk = {r["doc_id"] for r in found if not r["kept"]}, set(range(0, 600, 10))
+    assert junk <= out and len(out - junk) <= 5
+
+
 def test_estimate_inverts_the_covariance(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(size=(500, 5)) @ rng.normal(size=(5, 5)) * 3000).astype(int)
