@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +43,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_split(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows joined with groups, which has one row per key and the number of its rows, n; n is not returned.
+
+    Keys that hold over a thousandth of all rows are at most a thousand: they are
+    broadcast, so that no task gets a large group.  The others are dealt out by key.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") * 1000 > total
+    hot, others = groups.where(large).drop("n"), groups.where(~large).drop("n")
+    columns = [*rows.columns, *(c for c in hot.columns if c != key)]
+    few = rows.join(F.broadcast(hot), key).select(columns)
+    return few.union(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key).select(columns))
+
+
 def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_KEY))
 
@@ -67,6 +81,13 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name that no column of the documents has."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def unique_ids(docs: DataFrame, name: str = "__id") -> DataFrame:
     """The rows with a unique long that sorts like doc_id, then text: doc_id itself unless it has nulls or repeats."""
     own = docs.withColumn(name, F.col("doc_id").cast("long"))
@@ -101,8 +122,8 @@ def groups_by_size(items: Iterator[tuple], size_of, limit: int) -> Iterator[list
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Rows of the batches as tuples, text as UTF-8 bytes."""
-    for batch in batches:
+    """Rows of the batches as tuples, text as UTF-8 bytes; some hundred at a time are held as Python objects."""
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         yield from zip(*(text_bytes(batch, n) if n == "text" else column(batch, n) for n in names), strict=True)
 
 
@@ -117,7 +138,7 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, parts: list[bytes]) -> None:
+def write_file(uri: str, parts: Iterable[bytes]) -> None:
     """Write under a private name, then rename: a task that runs twice leaves one whole file."""
     system, path = filesystem(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from fernlake.llm.common import materialise
 
 
-def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links(a, b) of comparable values -> (node, label): the least node reachable, for every node with a link."""
     both = materialise(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:  # every round but the last lowers a label, so it ends
         # The least label next to each node, also offered to the node's own label: whole trees move at once.
         near = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label").groupBy("node").agg(F.min("label").alias("near"))
         seen = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("best"))
@@ -30,4 +30,3 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         labels = moved
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")

@@ -9,8 +9,8 @@ connection.  Documents enter only through their distinct fingerprint.
 
 Null texts have no words; a text without words has fingerprint zero, which
 links like any other.  Repeated rows give repeated rows.  The least doc_id of a
-group that has only null ids is null.  Columns other than doc_id and text are
-not read.
+group that has only null ids is null.  A long text is summed in slices.  An
+empty table gives no row.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernlake.llm.common import groups_by_size, materialise, rows_of
+from fernlake.llm.common import groups_by_size, join_split, materialise, rows_of
 from fernlake.llm.components import components
 
 SEED = 42
@@ -46,7 +46,7 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Bits set in over half of the hashes."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), SLICE):
@@ -72,9 +72,8 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Links (a, b) between distinct fingerprints that together connect all pairs at most radius (0 or 2) bits apart."""
     if radius not in (0, 2):
         raise ValueError("radius 0 or 2: each side emits the variants within half of it")
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A number of partitions that is not merged: each fingerprint becomes 65 rows.
-    distinct = prints.select("fp").distinct().repartition(parts, "fp")
+    # Each fingerprint becomes 65 rows: dealt out over tasks that are not merged, since the table of fingerprints is small.
+    distinct = prints.select("fp").distinct().repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     flips = [0, *((1 << b) - (1 << 64 if b == 63 else 0) for b in range(64))][: 65 if radius else 1]
     variants = distinct.select("fp", F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "flip")
     # A member of a variant's group is the variant with one bit flipped, or itself: a mask and a flag hold the group.
@@ -88,10 +87,11 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 2, text: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex), component_id (least doc_id of the group)."""
     prints = materialise(fingerprints(docs, width, text), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = components(links(prints, radius))
-    grouped = least.join(labels, least.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    least = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "least")
+    labels = components(links(least, radius))
+    grouped = least.join(labels, least.fp == labels.node, "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
     grouped = materialise(grouped, "groups")
     roots = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    member = grouped.join(roots, "label").select("fp", "component_id")
-    return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = materialise(grouped.join(roots, "label").select("fp", "n", "component_id"), "members")
+    joined = join_split(prints, member, "fp")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
