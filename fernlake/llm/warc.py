@@ -12,10 +12,16 @@ base 32.
 
 A null payload is empty.  Among records of equal payloads of at least
 `revisit_from` bytes the one with the largest id is the response and the others
-revisit it; smaller payloads are all responses.  Rows that repeat an id are all
-responses if the id is the largest of its payload.  A null id counts as the
-least.  A null URL is written as "urn:none".  An empty table gives no archive
-and no row.  Other columns are not read.
+revisit it; smaller payloads are all responses.  Of rows that repeat the largest
+id one is the response (that of the last place in the ARC files), and the others
+revisit it.  A null id counts as the least.  A null URL is written as "urn:none".
+An empty table gives no archive and no row.  A payload of any length is one
+record, held in memory as a whole.  Other columns are not read.
+
+Bodies are never dealt out: a task names the distinct digests of its ARC file,
+Spark finds the newest record of each digest that stands more than once, and the
+task that converts a file gets these beside it.  So a payload that a third of
+all pages share is one row a file.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlake.llm.common import fresh_path, groups_by_size, materialise, read_file, rows_of, write_file
@@ -40,6 +46,8 @@ FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 FILE_BYTES = 32 << 20
+#: Files are dealt out to so many tasks at most; more share one, a file at a time.
+MOST_TASKS = 100_000
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:fernlake:warc")
 #: Archive date of rows that carry none.
 NO_DATE = "20000101000000"
@@ -165,10 +173,13 @@ def parse_warc(record: bytes) -> tuple[dict[str, str], bytes]:
 # --- DataFrames --------------------------------------------------------------
 
 RECORD = "id long, url string, date string, kind string, status string, body binary, digest string"
+#: One row per file and digest: how many records, and of the newest its id (nulls least), place, URL and date.
+DIGESTS = "file string, digest string, n long, id long, place string, url string, date string"
+NO_ID = -(2**63)
 
 
-def write_arc(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", version: int = 2, date: str | None = None) -> list[str]:
-    """ARC files of a table, a gzip member per record, and their names; the id goes into the URL's fragment."""
+def write_arc(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", version: int = 2, date: str | None = None) -> DataFrame:
+    """ARC files of a table, a gzip member per record; a table of their names.  The id goes into the URL's fragment."""
     to = fresh_path(pages.sparkSession, "arc")
     schema = pa.schema([("file", pa.string())])
 
@@ -183,59 +194,87 @@ def write_arc(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
             yield pa.record_batch([[f"{to}/{name}"]], schema=schema)
 
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), (F.col(date).cast("string") if date else F.lit(None).cast("string")).alias("date"), F.col(payload).cast("string").alias("text"))
-    return sorted(r["file"] for r in rows.mapInArrow(run, "file string").collect())
+    return materialise(rows.mapInArrow(run, "file string"), "arc-files")
 
 
-def read_arc(spark: SparkSession, files: list[str]) -> DataFrame:
+def dealt(files: DataFrame) -> DataFrame:
+    """A table of file names, one file to a task as far as there are partitions."""
+    return files.repartition(max(1, min(files.count(), MOST_TASKS)))
+
+
+def arc_records(name: str) -> Iterator[tuple]:
+    for r in parse_arc(b"".join(members(read_file(name)))):
+        url, _, tag = r["URL"].rpartition("#fernlake-id=")
+        yield (int(tag) if tag.lstrip("-").isdigit() and url else None, url or r["URL"], r["Archive-date"], r["Content-type"], r.get("Result-code", "200"), r["body"], sha1_base32(r["body"]))
+
+
+def read_arc(files: DataFrame) -> DataFrame:
     """Records of ARC files: id, url, date, kind, status, body and digest of the body."""
     schema = pa.schema([("id", pa.int64()), *((c, pa.string()) for c in ("url", "date", "kind", "status")), ("body", pa.binary()), ("digest", pa.string())])
 
-    def rows(name: str) -> Iterator[tuple]:
-        for r in parse_arc(b"".join(members(read_file(name)))):
-            url, _, tag = r["URL"].rpartition("#fernlake-id=")
-            yield (int(tag) if tag.lstrip("-").isdigit() and url else None, url or r["URL"], r["Archive-date"], r["Content-type"], r.get("Result-code", "200"), r["body"], sha1_base32(r["body"]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (name,) in rows_of(batches, "file"):
-            for group in groups_by_size(rows(name), lambda r: len(r[5]) + 256, 4 << 20):
+            for group in groups_by_size(arc_records(name), lambda r: len(r[5]) + 256, 4 << 20):
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*group, strict=True), schema, strict=True)], schema=schema)
 
-    frame = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(len(files), 1))
-    return frame.mapInArrow(run, RECORD)
+    return dealt(files).mapInArrow(run, RECORD)
+
+
+def place_of(name: str, n: int) -> str:
+    """A record's place: the file's name without its folder, and which record of it."""
+    return f"{name.rpartition('/')[2]}/{n:09d}"
 
 
-def convert(records: DataFrame, revisit_from: int = 0) -> list[str]:
-    """WARC files of ARC records, one gzip member per record; their names."""
-    to = fresh_path(records.sparkSession, "warc")
-    # Rows of one payload meet only as pre-aggregated maxima; the join back is against one row a digest.
-    newest = records.where(F.octet_length("body") >= revisit_from).groupBy("digest").agg(F.max(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("id"), F.col("url"), F.col("date"))).alias("newest"))
-    newest = materialise(newest, "newest")  # whether it may be broadcast is for its true size to say
-    joined = records.join(newest, "digest", "left").select("id", "url", "date", "kind", "status", F.col("body").alias("text"), "digest", F.col("newest.id").alias("to_id"), F.col("newest.url").alias("to_url"), F.col("newest.date").alias("to_date"))
+def digests(files: DataFrame, revisit_from: int) -> DataFrame:
+    """Of each file its distinct digests of payloads that may be revisited; a null digest stands for the file itself."""
+    schema = pa.schema([("file", pa.string()), ("digest", pa.string()), ("n", pa.int64()), ("id", pa.int64()), *((c, pa.string()) for c in ("place", "url", "date"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name,) in rows_of(batches, "file"):
+            counts: dict[str, int] = {}
+            newest: dict[str, tuple] = {}
+            for n, (i, url, date, _, _, body, digest) in enumerate(arc_records(name)):
+                if len(body) >= revisit_from:
+                    counts[digest] = counts.get(digest, 0) + 1
+                    newest[digest] = max(newest.get(digest, (NO_ID, "")), (NO_ID if i is None else i, place_of(name, n), url, date))
+            rows = [(name, None, 0, None, None, None, None), *((name, d, n, *newest[d]) for d, n in counts.items())]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return dealt(files).mapInArrow(run, DIGESTS)
+
+
+def convert(files: DataFrame, revisit_from: int = 0) -> DataFrame:
+    """WARC files of ARC files, one of each, a gzip member per record; a table of their names."""
+    to = fresh_path(files.sparkSession, "warc")
+    found = materialise(digests(files, revisit_from), "digests")
+    newest = found.where("digest is not null").groupBy("digest").agg(F.sum("n").alias("n"), F.max(F.struct("id", "place", "url", "date")).alias("newest"))
+    newest = materialise(newest.where("n > 1").select("digest", "newest.id", "newest.place", "newest.url", "newest.date"), "newest")  # whether it may be broadcast is for its true size to say
+    verdicts = found.where("digest is not null").select("file", "digest").join(newest, "digest").select("file", "digest", "id", "place", "url", "date")
+    verdicts = verdicts.union(found.where("digest is null").select("file", "digest", "id", "place", "url", "date"))
     schema = pa.schema([("file", pa.string())])
 
-    def one(i, url, date, kind, status, body, digest, to_id, to_url, to_date) -> bytes:
-        own = -(2**63) if i is None else i
+    def one(place, i, url, date, kind, status, body, digest, other) -> bytes:
         day, about = iso_date(date), [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Record-Key", "" if i is None else str(i))]
-        identifier, http = record_id(f"{url}#{own}", day, digest), http_block(kind, status, len(body))
-        if to_id is None or own >= to_id:
+        identifier, http = record_id(f"{url} {place}", day, digest), http_block(kind, status, len(body))
+        if other is None or other[1] == place:
             return warc_record("response", url, day, identifier, http + body, [*about, ("Content-Type", "application/http; msgtype=response")])
-        about += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(f"{to_url}#{to_id}", iso_date(to_date), digest)), ("WARC-Refers-To-Target-URI", to_url), ("WARC-Refers-To-Date", iso_date(to_date)), ("X-Refers-To-Key", str(to_id)), ("X-Payload-Length", str(len(body)))]
+        to_id, to_place, to_url, to_date = other
+        to_day, key = iso_date(to_date), "" if to_id == NO_ID else str(to_id)
+        about += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(f"{to_url} {to_place}", to_day, digest)), ("WARC-Refers-To-Target-URI", to_url), ("WARC-Refers-To-Date", to_day), ("X-Refers-To-Key", key), ("X-Payload-Length", str(len(body)))]
         return warc_record("revisit", url, day, identifier, http, [*about, ("Content-Type", "application/http; msgtype=response")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        names = ("id", "url", "date", "kind", "status", "text", "digest", "to_id", "to_url", "to_date")
-        for seq, group in enumerate(groups_by_size(rows_of(batches, *names), lambda r: len(r[5]) + 512, FILE_BYTES)):
-            name = f"{to}/part-{part:06d}-{seq:04d}.warc.gz"
-            write_file(name, [gzip_member(one(*r)) for r in group])
-            yield pa.record_batch([[name]], schema=schema)
+    def run(key, group):
+        name = key[0].as_py()
+        others = {r["digest"]: (r["id"], r["place"], r["url"], r["date"]) for r in group.to_pylist() if r["digest"] is not None}
+        target = f"{to}/{name.rpartition('/')[2].removesuffix('.arc.gz')}.warc.gz"
+        write_file(target, (gzip_member(one(place_of(name, n), *r, others.get(r[6]))) for n, r in enumerate(arc_records(name))))
+        return pa.table([[target]], schema=schema)
 
-    return sorted(r["file"] for r in joined.mapInArrow(run, "file string").collect())
+    # A file's rows are its distinct digests with company, fewer than its records.
+    return materialise(verdicts.groupBy("file").applyInArrow(run, "file string"), "warc-files")
 
 
-def read_warc(spark: SparkSession, files: list[str]) -> DataFrame:
+def read_warc(files: DataFrame) -> DataFrame:
     """Records of WARC files: id, url, warc_date, record_id, record_type, payload_bytes, payload_digest, refers_to, refers_to_id, payload.
 
     A revisit has no payload of its own: its length and digest are those of the full payload.
@@ -258,12 +297,9 @@ def read_warc(spark: SparkSession, files: list[str]) -> DataFrame:
             for group in groups_by_size(rows(name), lambda r: len(r[9] or b"") + 512, 4 << 20):
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*group, strict=True), schema, strict=True)], schema=schema)
 
-    frame = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(len(files), 1))
-    return frame.mapInArrow(run, "id long, url string, warc_date string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_id string, payload binary")
+    return dealt(files).mapInArrow(run, "id long, url string, warc_date string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_id string, payload binary")
 
 
 def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", version: int = 2, revisit_from: int = 0) -> DataFrame:
     """Write a table as ARC, convert it to WARC, and read the WARC files back."""
-    spark = pages.sparkSession
-    records = read_arc(spark, write_arc(pages, key, url, payload, version))
-    return read_warc(spark, convert(records, revisit_from))
+    return read_warc(convert(write_arc(pages, key, url, payload, version), revisit_from))

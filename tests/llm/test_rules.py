@@ -209,13 +209,16 @@ def test_archive(spark, version):
     top: dict = {}
     for i, _, h in pages:
         top[h or ""] = max(top.get(h or "", -1), -1 if i is None else i)
-    want = []
+    want, answered = [], set()
     for i, _, h in pages:
         data = (h or "").encode()
-        newest = top[h or ""] == (-1 if i is None else i)
-        want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if newest else "revisit", None if newest else top[h or ""]))
+        response = top[h or ""] == (-1 if i is None else i) and data not in answered
+        if response:
+            answered.add(data)
+        want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if response else "revisit", None if response else top[h or ""]))
     assert sorted(((r["id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found), key=str) == sorted(want, key=str)
     ids = {r["record_id"] for r in found if r["record_type"] == "response"}
+    assert len({r["record_id"] for r in found}) == len(pages)
     assert all(r["refers_to_id"] in ids for r in found if r["record_type"] == "revisit")
     assert {bytes(r["payload"]).decode() for r in found if r["payload"] is not None} == set(top)
 
