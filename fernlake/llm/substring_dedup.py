@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlake.llm import windows
-from fernlake.llm.common import groups_by_size, keyed, rows_of, unique_ids
+from fernlake.llm.common import column, free_name, groups_by_size, keyed, rows_of, text_bytes, unique_ids
 
 WIDTH = 20
 
@@ -114,9 +114,37 @@ def removals(docs: DataFrame, width: int = WIDTH, text: str = "text", keep_text:
 
 
 def applied(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows with the repeats cut from their text and n_chars, if there, counted anew; texts that lose every word go."""
-    rows = unique_ids(docs)
-    left = removals(rows.select(F.col("__id").alias("doc_id"), "text"), width, keep_text=True)
-    left = left.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), F.col("n_removed").alias("__gone"), F.col("n_words").alias("__words")).where("__gone = 0 or __gone < __words")
-    columns = [F.col("__kept").alias("text") if c == "text" else F.when(F.col("__gone") > 0, F.length("__kept").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.join(left, "__id").select(*columns)
+    """The rows with the repeats cut from their text and n_chars, if there, counted anew; texts that lose every word go.
+
+    Texts are dealt out once, with all their columns, to meet the places of their repeats.
+    """
+    key, mark = free_name(docs, "row_id"), free_name(docs, "places")
+    rows = unique_ids(docs, key)
+    found = repeated(rows.select(F.col(key).alias("k"), F.lit(0).alias("c"), F.col("text").cast("string").alias("text")), width)
+    joined = rows.join(found.select(F.col("k").alias(key), F.col("places").alias(mark)), key, "left").select(*docs.columns, mark)
+    names = list(docs.columns)
+
+    def one(text: bytes | None, raw: bytes | None) -> str | None:
+        """The text without its repeats; None if no word is left."""
+        n = len(text.split())
+        gone = windows.covered(windows.places(raw), width, n)
+        return None if gone.all() else cut(text, gone).decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = column(batch, mark)
+            hit = [i for i, raw in enumerate(places) if raw is not None]
+            texts, own = text_bytes(batch), batch.select(names)
+            kept = {i: one(texts[i], places[i]) for i in hit}
+            out = []
+            for name in names:
+                values = batch.column(name)
+                if hit and name in ("text", "n_chars"):
+                    fresh = values.to_pylist()
+                    for i, t in kept.items():
+                        fresh[i] = t if name == "text" else len(t or "")
+                    values = pa.array(fresh, values.type)
+                out.append(values)
+            yield pa.RecordBatch.from_arrays(out, schema=own.schema).filter(pa.array([kept.get(i, "") is not None for i in range(len(places))], pa.bool_()))
+
+    return joined.mapInArrow(run, docs.schema)
