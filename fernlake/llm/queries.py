@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlake.llm import bpe, decontaminate, huffman, quality_rules, resample, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from fernlake.llm.common import small_batches
 
 #: Where the public vocabulary files are; a parameter of the operators.
 TOKENIZERS = os.environ.get("FERNLAKE_TOKENIZERS", "/opt/tokenizers")
@@ -18,6 +19,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 MASK64 = (1 << 64) - 1
 #: Multiplier of the rolling hash: odd, 5 modulo 8.
 BASE = 0x9E3779B97F4A7C15 & ~7 | 5
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
 #: Text bytes for which one bucket is made.
 BUCKET_BYTES = 8 << 20
 BLOB = "bucket int, repeats boolean, blob binary"
