@@ -270,8 +270,10 @@ def convert(files: DataFrame, revisit_from: int = 0) -> DataFrame:
         write_file(target, (gzip_member(one(place_of(name, n), *r, others.get(r[6]))) for n, r in enumerate(arc_records(name))))
         return pa.table([[target]], schema=schema)
 
-    # A file's rows are its distinct digests with company, fewer than its records.
-    return materialise(verdicts.groupBy("file").applyInArrow(run, "file string"), "warc-files")
+    # A file's rows are its distinct digests with company, fewer than its records.  They are small, the files
+    # aren't: so the rows are dealt out over a number of tasks that is not merged.
+    tasks = max(1, min(files.count(), MOST_TASKS))
+    return materialise(verdicts.repartition(tasks, "file").groupBy("file").applyInArrow(run, "file string"), "warc-files")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
