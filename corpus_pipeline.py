@@ -12,42 +12,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlake.llm import bpe, decontaminate, near_copies, resample, substring_dedup
-from fernlake.llm.common import materialise, unique_ids
+from fernlake.llm.common import free_name, materialise, small_batches, unique_ids
 from fernlake.llm.queries import TOKENIZERS
 
 
-def keep(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows whose __id is among ids ("left_semi") or is not ("left_anti"), without __id."""
-    return rows.join(ids, "__id", how).drop("__id")
+def without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """Rows whose key is not in gone, without the key.  gone is written first: whether it may be broadcast is for its true size to say."""
+    return rows.join(materialise(gone, "gone"), name, "left_anti").drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling does not select go."""
-    rows = unique_ids(docs)
-    found = resample.resampled(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), key="__id")
-    return keep(rows, found.where(~F.col("selected")).select(F.col("row_key").alias("__id")), "left_anti")
+    small_batches(spark)
+    name = free_name(docs, "row_id")
+    rows = unique_ids(docs, name)
+    found = resample.resampled(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=name)
+    return without(rows, found.where(~F.col("selected")).select(F.col("row_key").alias(name)), name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the first document stays."""
-    rows = unique_ids(docs)
-    groups = near_copies.near_groups(rows.select(F.col("__id").alias("doc_id"), "text"))
-    return keep(rows, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")), "left_anti")
+    small_batches(spark)
+    name = free_name(docs, "row_id")
+    rows = unique_ids(docs, name)
+    groups = near_copies.near_groups(rows.select(F.col(name).alias("doc_id"), "text"))
+    return without(rows, groups.where("doc_id <> component_id").select(F.col("doc_id").alias(name)), name)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated windows of words are cut from the texts."""
+    small_batches(spark)
     return substring_dedup.applied(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a test item go."""
-    rows = unique_ids(docs)
-    found = decontaminate.contained(rows.select(F.col("__id").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keep(rows, found.select(F.col("doc_id").alias("__id")), "left_anti")
+    small_batches(spark)
+    name = free_name(docs, "row_id")
+    rows = unique_ids(docs, name)
+    found = decontaminate.contained(rows.select(F.col(name).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(rows, found.select(F.col("doc_id").alias(name)), name)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.encoded(docs, f"{TOKENIZERS}/word_bpe_49k.json")
 
 
