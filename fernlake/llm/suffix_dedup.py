@@ -1,11 +1,15 @@
 """Suffix-array deduplication of bytes: repeated strings of `width` bytes go, the first occurrence stays.
 
 The order of all suffixes comes from merging Burrows-Wheeler transforms of
-shards: round h takes the interleave of the shards' suffixes by their first h-1
-bytes to that by their first h, by one stable counting sort of the transforms'
-symbols.  Blocks of equal prefixes split as the rounds go; after `width` rounds
-a block holds the suffixes that share a prefix of that length, that is, one
-repeated string, and no suffix was compared with another.
+shards.  A transform, inverted, leads from a suffix to the one a symbol shorter,
+and composed with itself to the one h symbols shorter.  The shards' suffixes are
+interleaved by their first few symbols, which the transforms give; a round then
+refines the interleave by h symbols to one by 2 h: suffixes that agree in h
+symbols are told apart by the block of what follows these.  Blocks of one suffix
+are settled and take no part in further rounds, so no suffix is compared with
+another and not all are sorted again.  Where neighbours part, the round says
+what prefix they had in common; stretches with one of `width` symbols are the
+repeated intervals, that is, one repeated string each.
 
 Not all suffixes need be merged at one place.  Every string of `width` bytes has
 an anchor, the least hashed half-length gram inside it; equal strings have equal
@@ -18,13 +22,14 @@ anchors at equal offsets.  Consecutive strings of one anchor form a run, and
 3. a bucket cuts its distinct runs into shards, sorts each shard's suffixes, and
    merges the shards' transforms.  In each final block the earliest string stays.
 
-Copies of a whole text repeat the first one in all their bytes and skip steps 2
-and 3.  Hashes only choose what to compare: the result is exact.
+Copies of a whole text (equal SHA-256) repeat the first one in all their bytes and
+skip steps 2 and 3.  They and equal runs only save work: a group of copies, however
+large, reaches a bucket once.  Hashes choose what to compare; the result is exact.
 
 Null texts are empty.  A null doc_id comes before all others.  Texts that share
 a doc_id are ordered by a hash of the text; rows that agree in both are one
-document, and all get its result.  Columns other than doc_id and text are not
-read.
+document, and all get its result.  Long texts are cut into overlapping pieces.
+An empty table gives no row.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -41,14 +46,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlake.llm import windows
-from fernlake.llm.common import NULL_KEY, groups_by_size, keyed, rows_of
+from fernlake.llm.common import NULL_KEY, groups_by_size, join_split, keyed, materialise, rows_of
 
 WIDTH = 100
 #: Bytes of text a task works on at once, and of a long text cut off as one piece.
-GROUP_BYTES = 3 << 20
-PIECE = 2 << 20
-#: Bytes of runs whose suffixes are sorted as one shard.
+GROUP_BYTES = 3 << 19
+PIECE = 1 << 20
+#: Bytes of runs whose suffixes are sorted as one shard, and of runs whose shards are merged at a time (more if one anchor has more).
 SHARD = 1 << 17
+MERGED = 1 << 19
+#: Symbols by which the first interleave goes, as many as fit a number at 9 bits each.
+PACKED = 7
 #: A run as one number: start << 28 | strings in it << 14 | offset of the anchor.
 FIELD = 14
 
@@ -130,115 +138,169 @@ def send_runs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = width // 2
-        for group in groups_by_size(rows_of(batches, "k", "c", "places", "text"), lambda r: len(r[3] or b"") + 64, 4 * GROUP_BYTES):
+        for group in groups_by_size(rows_of(batches, "k", "c", "places", "text"), lambda r: len(r[3] or b"") + 64, 8 << 20):
             seen: set[bytes] = set()
             ready: dict[int, list] = defaultdict(list)
-            repeats: list[tuple[int, int, int]] = []
+            repeats: list[tuple[int, int, int, int]] = []
             for (k, c), (places, text) in sorted({(k, c): (p, t) for k, c, p, t in group}.items()):
                 for place in windows.places(places).tolist():
                     start, count, offset = place >> 2 * FIELD, place >> FIELD & (1 << FIELD) - 1, place & (1 << FIELD) - 1
                     own = text[start : start + count + width - 1]
                     if own in seen:
-                        repeats += [(k, c, start + i) for i in range(count)]
+                        repeats.append((k, c, start, count))
                         continue
                     seen.add(own)
                     anchor = xxhash.xxh3_64_intdigest(text[start + offset : start + offset + gram])
                     ready[(anchor >> 32) * buckets >> 32].append((k, c, start, offset, own))
             out = [(bucket, False, pack_runs(rows)) for bucket, rows in ready.items()]
-            out += settled_rows(repeats, buckets)
+            out += settled_rows(*spread(repeats), buckets)
             for part in groups_by_size(iter(out), lambda r: len(r[2]), 4 << 20):
                 yield windows.batch_of(part)
 
     return docs.select("k", "c", "places", "text").mapInArrow(run, windows.BLOB)
 
 
-def settled_rows(places: list[tuple[int, int, int]], buckets: int) -> list[tuple[int, bool, bytes]]:
-    if not places:
-        return []
-    k, c, p = (np.array(x, np.int64) for x in zip(*sorted(places), strict=True))
+def spread(stretches: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (k, c, p) of stretches (k, c, first place, number of places)."""
+    k, c, p, n = (np.array(x, np.int64) for x in (zip(*stretches, strict=True) if stretches else [()] * 4))
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(k, n), np.repeat(c, n), np.repeat(p, n) + inside
+
+
+def settled_rows(k: np.ndarray, c: np.ndarray, p: np.ndarray, buckets: int) -> list[tuple[int, bool, bytes]]:
+    order = np.lexsort((p, c, k))  # places in order pack well
+    k, c, p = k[order], c[order], p[order]
     return list(windows.blob_rows(windows.doc_bucket(k, c, buckets), True, k, c, p))
 
 
 # --- Burrows-Wheeler transforms ----------------------------------------------
 
 
-def shard_transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of some texts (each ended by a symbol of its own, below all bytes) and its transform.
+def packed(symbols: np.ndarray, steps: int, advance) -> np.ndarray:
+    """The first symbols of each suffix as one number; advance gives the symbols one place further on."""
+    key = symbols.astype(np.uint64)
+    for i in range(1, steps):
+        key = key << np.uint64(9) | advance(i).astype(np.uint64)
+    return key
+
+
+def starts_of(new: np.ndarray) -> np.ndarray:
+    """For each place of an order, where its block starts; new marks the places that start one."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
 
-    Symbols are bytes + 1; 0 stands for any end.  Suffixes are sorted by doubling.
+def refine(order: np.ndarray, rank: np.ndarray, left: np.ndarray, common: np.ndarray, depth: int, longer: int, follow) -> None:
+    """Refine, in place, an order of suffixes by depth symbols to one by longer.
+
+    rank: of each suffix, where its block starts; left: symbols before its end;
+    common: of each place, the symbols known to agree with the place before.
+    follow(suffixes) is what follows longer - depth symbols.  Blocks of one
+    suffix, and those of a whole short suffix, are settled.
     """
-    n = sum(map(len, texts)) + len(texts)
-    symbols = np.zeros(n, np.int64)
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    body = np.ones(n, bool)
-    body[ends] = False
-    symbols[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    # Ranks by the first symbols, as many as fit a number; what follows an end does not count.
-    size, rank, open_ = 0, np.zeros(n, np.int64), np.ones(n, bool)
-    while size < 6:
-        step = np.zeros(n, np.int64)
-        step[: n - size] = symbols[size:]
-        rank = rank * 257 + np.where(open_, step, 0)
-        open_ &= step > 0
-        size += 1
-    rank = rank * (len(texts) + 1)
-    # Where an end is among them, the texts' order decides; ends differ.
-    text = np.repeat(np.arange(len(texts)), np.diff(np.append(-1, ends)))
-    rank += np.where(open_, 0, text + 1)
-    order = np.argsort(rank, kind="stable")
-    while True:
-        ordered = rank[order]
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            break
-        nxt = np.zeros(n, np.int64)
-        nxt[:-size] = rank[size:] + 1
-        rank = rank * (n + 1) + nxt  # an end differs from all others, so nothing is read past it
-        order = np.argsort(rank, kind="stable")
-        size *= 2
+    held = rank[order]
+    joined = held[1:] == held[:-1]
+    active = np.concatenate([[False], joined]) | np.concatenate([joined, [False]])
+    active &= left[order] >= depth
+    place = np.flatnonzero(active)
+    if not len(place):
+        return
+    suffix = order[place]
+    key = held[place].astype(np.int64) * (len(order) + 1) + rank[follow(suffix)]
+    moved = np.argsort(key, kind="stable")
+    suffix, key = suffix[moved], key[moved]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    order[place] = suffix
+    rank[suffix] = place[starts_of(new)]
+    parted = place[new]
+    parted = parted[held[parted] != parted]  # the block started here before
+    common[parted] = depth
+
+
+def shard_transform(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of some texts, ordered by their first width symbols and then their places, and the transform.
+
+    Symbols are bytes + 1; 0 stands for an end and all that follows it.
+    """
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    n = int(lengths.sum())
+    ends = np.cumsum(lengths) - 1
+    left = np.repeat(ends, lengths) - np.arange(n)
+    symbols = np.zeros(n, np.uint16)
+    symbols[left > 0] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
+
+    def advance(i: int) -> np.ndarray:
+        out = np.zeros(n, np.uint16)
+        out[: max(n - i, 0)] = symbols[i:]
+        out[left < i] = 0
+        return out
+
+    depth = min(PACKED, width)
+    key = packed(symbols, depth, advance)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = starts_of(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    common = np.zeros(n, np.int32)
+    while depth < width:
+        longer = min(2 * depth, width)
+        refine(order, rank, left, common, depth, longer, lambda s, step=longer - depth: s + step)
+        depth = longer
     before = symbols[order - 1]
     before[order == 0] = 0
-    return order, before.astype(np.uint16)
+    return order, before
 
 
-def merge_transforms(transforms: list[np.ndarray], texts: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave the shards' suffixes by their first width symbols: (place in the shards, one after another; block) in merged order.
+def merge_transforms(transforms: list[np.ndarray], left: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave the shards' suffixes by their first width symbols: (place in the shards, one after another; common prefix with the one before, at most width).
 
-    Shards keep their own order throughout, so a round's interleave follows from the last one and the transforms alone.
+    The common prefix is what the rounds prove: exact where it is width, else the last depth at which both agreed.
+    Suffixes that agree in width symbols stay in the order of the shards.
 
-    transforms: of the shards; texts: how many each holds, whose ends come first.
+    transforms: of the shards; left: of each place in the shards, the symbols before its suffix's end.
     """
-    sizes = np.array([len(t) for t in transforms], np.int64)
-    base = np.cumsum(sizes) - sizes
-    # Few symbols occur at a time: numbered densely they sort in one pass.
-    names, symbols = np.unique(np.concatenate(transforms), return_inverse=True)
-    symbols = symbols.astype(np.uint8 if len(names) <= 256 else np.uint16)
-    # Within its shard, the suffix one symbol longer: the shard's own transform, inverted.
-    longer = np.empty(len(symbols), np.int32)
-    for b, t in zip(base.tolist(), transforms, strict=True):
-        longer[b + np.argsort(t, kind="stable")] = b + np.arange(len(t))
-    ends = int(sum(texts))
-    # The suffixes that begin with an end come first, in a fixed order, each alone in its block.
-    first = np.concatenate([b + np.arange(t) for b, t in zip(base.tolist(), texts, strict=True)]).astype(np.int32)
-    at = np.arange(len(symbols), dtype=np.int32)
-    block = np.zeros(len(symbols), np.int32)
-    for _ in range(width):
-        # The suffixes one symbol longer, by that symbol and then as they were.
-        merged = symbols[at]
-        order = np.argsort(merged, kind="stable")[ends:]
-        ordered, held = merged[order], block[order]
-        split = (ordered[1:] != ordered[:-1]) | (held[1:] != held[:-1])
-        at = np.concatenate([first, longer[at[order]]])
-        block = np.concatenate([np.arange(ends, dtype=np.int32), np.cumsum(np.concatenate([[True], split]), dtype=np.int32) + np.int32(ends - 1)]) if len(order) else np.arange(ends, dtype=np.int32)
-        if block[-1] == len(block) - 1:
-            break
-    return at, block
+    n = len(left)
+    # Inverted, a transform leads to the suffix one symbol shorter; from an end it stays there.
+    step, first, at = np.empty(n, np.int32), np.empty(n, np.uint16), 0
+    for t in transforms:
+        own = np.argsort(t, kind="stable")
+        step[at : at + len(t)] = at + own
+        first[at : at + len(t)] = t[own]
+        at += len(t)
+    step = np.where(left == 0, np.arange(n, dtype=np.int32), step)
+    depth = min(PACKED, width)
+    reached = [np.arange(n, dtype=np.int32)]
+
+    def advance(i: int) -> np.ndarray:
+        reached[0] = step[reached[0]]
+        return first[reached[0]]
+
+    key = packed(first, depth, advance)
+    steps = {1: step, depth: step[reached[0]]}
+    order = np.argsort(key, kind="stable")  # every shard's keys ascend already
+    ordered = key[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    rank = np.empty(n, np.int32)
+    rank[order] = starts_of(new)
+    common = np.where(new, 0, width).astype(np.int32)
+    del key, ordered, reached
+
+    def follow(places: np.ndarray, far: int) -> np.ndarray:
+        for size in sorted(steps, reverse=True):
+            while far >= size:
+                places, far = steps[size][places], far - size
+        return places
+
+    while depth < width:
+        longer = min(2 * depth, width)
+        refine(order, rank, left, common, depth, longer, lambda s, far=longer - depth: follow(s, far))
+        if 2 * longer <= width:
+            steps[longer] = steps[depth][steps[depth]]
+        depth = longer
+    return order, common
 
 
 def equal_strings(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, offset, block) of every string of width bytes inside the texts; equal strings share a block."""
+    """(text, offset, block) of every string of width bytes inside the texts; equal strings share a block, in the order of their places."""
     shards, held, total = [], [], 0
     for n, t in enumerate(texts):
         if not held or total + len(t) > SHARD:
@@ -247,20 +309,21 @@ def equal_strings(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarra
             total = 0
         held.append(n)
         total += len(t)
-    suffixes, transforms, owner, offset = [], [], [], []
+    transforms, owner, offset = [], [], []
     for members in shards:
-        order, transform = shard_transform([texts[n] for n in members])
+        order, transform = shard_transform([texts[n] for n in members], width)
         lengths = np.array([len(texts[n]) + 1 for n in members], np.int64)
         text = np.repeat(np.arange(len(members)), lengths)
         inside = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        suffixes.append(order)
         transforms.append(transform)
         owner.append(np.array(members)[text[order]])
         offset.append(inside[order])
-    at, block = merge_transforms(transforms, [len(m) for m in shards], width)
-    owner, offset = np.concatenate(owner)[at], np.concatenate(offset)[at]
-    whole = offset + width <= np.array([len(t) for t in texts])[owner]
-    return owner[whole], offset[whole], block[whole]
+    owner, offset = np.concatenate(owner), np.concatenate(offset)
+    left = np.array([len(t) for t in texts])[owner] - offset
+    at, common = merge_transforms(transforms, left, width)
+    block = np.cumsum(common < width)
+    whole = left[at] >= width
+    return owner[at][whole], offset[at][whole], block[whole]
 
 
 def settle_runs(blobs: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -271,25 +334,25 @@ def settle_runs(blobs: DataFrame, width: int, buckets: int) -> DataFrame:
         k, c, p, _ = windows.unpack_all([b for done, b in rows if done])
         out = list(windows.blob_rows(windows.doc_bucket(k, c, buckets), True, k, c, p))
         found = sorted(x for done, b in rows if not done for x in unpack_runs(b))
-        repeats: list[tuple[int, int, int]] = []
+        repeats: list[tuple[int, int, int, int]] = []
         seen: dict[bytes, tuple[int, int, int]] = {}
         families: dict[bytes, list[tuple[int, int, int, bytes]]] = defaultdict(list)
         for k, c, start, offset, own in found:
             place = seen.setdefault(own, (k, c, start))
             if place != (k, c, start):
-                repeats += [(k, c, start + i) for i in range(len(own) - width + 1)]
+                repeats.append((k, c, start, len(own) - width + 1))
             elif not families[anchor := own[offset : offset + width // 2]] or families[anchor][-1] != (k, c, start, own):
                 families[anchor].append((k, c, start, own))
+        out += settled_rows(*spread(repeats), buckets)
         # Distinct runs with an anchor in common, and only they, can share some of their strings.
-        mixed = sorted(r for members in families.values() if len(members) > 1 for r in members)
-        if mixed:
+        shared = ((members, sum(len(r[3]) for r in members)) for members in families.values() if len(members) > 1)
+        for part in groups_by_size(shared, lambda m: m[1], MERGED):
+            mixed = sorted(r for members, _ in part for r in members)
             owner, offset, block = equal_strings([r[3] for r in mixed], width)
-            order = np.lexsort((offset + np.array([r[2] for r in mixed])[owner], owner, block))
-            owner, offset, block = owner[order], offset[order], block[order]
-            later = np.flatnonzero(block[1:] == block[:-1]) + 1
             # mixed is in the order of places, so of a block the first is the earliest.
-            repeats += [(*mixed[o][:2], mixed[o][2] + i) for o, i in zip(owner[later].tolist(), offset[later].tolist(), strict=True)]
-        out += settled_rows(repeats, buckets)
+            later = np.flatnonzero(block[1:] == block[:-1]) + 1
+            k, c, start = (np.array([r[i] for r in mixed], np.int64)[owner[later]] for i in range(3))
+            out += settled_rows(k, c, start + offset[later], buckets)
         return pa.Table.from_batches([windows.batch_of(out)] if out else [], windows.BLOB_SCHEMA)
 
     return blobs.groupBy("bucket").applyInArrow(run, windows.BLOB)
@@ -303,9 +366,9 @@ def removals(docs: DataFrame, width: int = WIDTH, text: str = "text", keep_text:
     buckets = windows.bucket_count(docs, text)
     company = windows.places_by_document(windows.settle(anchors(base, width, buckets), buckets, windows.shared))
     # Whole copies of an earlier text; only keys and digests are dealt out.
-    digests = base.where(F.octet_length("text") >= width).select("k", "c", F.sha2("text", 256).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min(F.struct("k", "c")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.k").alias("k0"), F.col("first.c").alias("c0"))
-    copies = digests.join(first, "digest").where("k <> k0 or c <> c0").select("k", "c", F.lit(True).alias("copy")).distinct()
+    digests = materialise(base.where(F.octet_length("text") >= width).select("k", "c", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
+    first = digests.groupBy("digest").agg(F.min(F.struct("k", "c")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "n", F.col("first.k").alias("k0"), F.col("first.c").alias("c0"))
+    copies = join_split(digests, materialise(first, "first"), "digest").where("k <> k0 or c <> c0").select("k", "c", F.lit(True).alias("copy")).distinct()
     wanted = company.join(copies, ["k", "c"], "left_anti")
     sent = send_runs(base.join(wanted, ["k", "c"]), width, buckets)
     found = windows.places_by_document(settle_runs(sent, width, buckets))
