@@ -36,8 +36,17 @@ def aligned(df: DataFrame, schema: T.StructType, extra: tuple[str, ...] = ()) ->
     return df.select(*columns, *extra)
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with null allowed at every depth."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType), True)
+    return as_nullable(kind) if isinstance(kind, T.StructType) else kind
+
+
 def as_nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
+    return T.StructType([T.StructField(f.name, nullable(f.dataType), True, f.metadata) for f in schema])
 
 
 def scan(

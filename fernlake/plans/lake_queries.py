@@ -308,7 +308,34 @@ def prepared(spark, sf_dir):
 
 
 def generate_series(spark, sf_dir):
-    return Lake(spark, scratch(spark)).sql("SELECT id AS x FROM generate_series(3, 9)")
+    return Lake(spark, scratch(spark)).sql("SELECT value AS x FROM generate_series(3, abs(-9))")
+
+
+def series_in_string(spark, sf_dir):
+    """A string that looks like a call stays a string."""
+    return lake_of(spark, sf_dir, columns=["event_id"]).sql("SELECT event_id, 'generate_series(1, 2)' AS s FROM events")
+
+
+def cte_named_like_table(spark, sf_dir):
+    """The CTE hides the table after its definition, and reads the table inside it."""
+    lake = lake_of(spark, sf_dir, columns=["event_id", "user_id"])
+    return lake.sql("WITH events AS (SELECT event_id + 1 AS event_id FROM events WHERE user_id < 50) SELECT event_id FROM events WHERE event_id % 2 = 0")
+
+
+def prune_nested_field(spark, sf_dir):
+    """A field of a struct that is named like a column is not weighed by the column's statistics."""
+    lake, df = Lake(spark, scratch(spark)), source(spark, sf_dir).select("event_id", F.struct((F.col("event_id") + 1000000).alias("event_id")).alias("m"))
+    lake.create_table("nested", df.schema, partition_cols=["event_id"])
+    lake.insert("nested", df)
+    lake.delete("nested", "m.event_id < 1000100")
+    return lake.sql("SELECT event_id FROM nested WHERE m.event_id >= 1000050 AND nested.event_id < 500")
+
+
+def update_with_comparison(spark, sf_dir):
+    """A SET list whose expressions compare."""
+    lake = lake_of(spark, sf_dir, columns=["event_id", "user_id", "event_type"])
+    lake.sql("UPDATE events SET user_id = CASE WHEN user_id > 50 THEN 50 ELSE user_id END, event_type = 'capped' WHERE event_id % 3 = 0")
+    return lake.sql("SELECT * FROM events")
 
 
 def lake_join(spark, sf_dir):
@@ -391,6 +418,10 @@ ENTRIES: dict[str, tuple] = {
     "two_schemas": (two_schemas, "SELECT 100::BIGINT AS a, 900::BIGINT AS b"),
     "prepared": (prepared, "SELECT event_id FROM events WHERE event_type = 'view' AND event_id < 500"),
     "generate_series": (generate_series, "SELECT generate_series AS x FROM generate_series(3, 9)"),
+    "series_in_string": (series_in_string, "SELECT event_id, 'generate_series(1, 2)' AS s FROM events"),
+    "cte_named_like_table": (cte_named_like_table, "SELECT event_id + 1 AS event_id FROM events WHERE user_id < 50 AND (event_id + 1) % 2 = 0"),
+    "prune_nested_field": (prune_nested_field, "SELECT event_id FROM events WHERE event_id >= 100 AND event_id < 500"),
+    "update_with_comparison": (update_with_comparison, "SELECT event_id, CASE WHEN event_id % 3 = 0 AND user_id > 50 THEN 50 ELSE user_id END AS user_id, CASE WHEN event_id % 3 = 0 THEN 'capped' ELSE event_type END AS event_type FROM events"),
     "lake_join": (lake_join, "SELECT n_name AS name, r_name, n FROM (SELECT user_id % 25 AS k, COUNT(*) AS n FROM events GROUP BY 1) JOIN nation ON k = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "import_csv": (imported("csv"), "SELECT event_type, event_id, user_id FROM events"),
     "import_json": (imported("json"), "SELECT event_type, event_id, user_id FROM events"),
