@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from fernlake.llm import bpe, decontaminate, huffman, quality_rules, resample, s
 from fernlake.llm.common import small_batches
 
 #: Where the public vocabulary files are; a parameter of the operators.
-TOKENIZERS = os.environ.get("FERNLAKE_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("FERNLAKE_TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 #: The pre-token pattern of the rank files (fixed value).
