@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id in keys, so that nulls sort first and join.
 NULL_KEY = -(2**63)
 
+#: Rows of 64 bits in the bitmap of a set of keys, at most.
+WORDS = 1 << 18
+
 #: Words of the contracts: runs of bytes other than these, which is what bytes.split() gives.
 WORD_SPACE = " \t\n\x0b\f\r"
 
@@ -64,6 +67,34 @@ def join_split(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return few.union(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key).select(columns))
 
 
+def parted(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among keys, rows whose key surely is not), so that only the first need to meet keys in a shuffle.
+
+    A bitmap of hashed keys tells them apart.  It is broadcast and has WORDS rows of
+    64 bits at most, however many keys there are: the more, the more rows are in the
+    first part, which the caller joins exactly.  keys is a written table; each part
+    scans rows once.
+    """
+    word, bit, mask = (free_name(rows, n) for n in ("bitmap_word", "bitmap_bit", "bitmap_mask"))
+
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        h = F.xxhash64(F.col(name).cast("long"))
+        return df.withColumns({word: F.pmod(F.shiftright(h, 6), F.lit(WORDS)), bit: h.bitwiseAND(F.lit(63)).cast("int")})
+
+    one = F.expr(f"shiftleft(1L, {bit})")
+    words = hashed(keys.select(key), key).groupBy(word).agg(F.bit_or(one).alias(mask))
+    # The words are written, so that both parts read the same few rows.
+    marked = hashed(rows, key).join(F.broadcast(materialise(words, "bitmap")), word, "left")
+    may = F.coalesce(F.col(mask).bitwiseAND(one) != 0, F.lit(False))
+    return marked.where(may).select(rows.columns), marked.where(~may).select(rows.columns)
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key, which is not null, is not among keys, a written table."""
+    may, rest = parted(rows, keys, key)
+    return rest.unionByName(may.join(keys.select(key), key, "left_anti").select(rows.columns))
+
+
 def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_KEY))
 

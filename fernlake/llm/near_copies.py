@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlake.llm import simhash
-from fernlake.llm.common import groups_by_size, materialise, rows_of
+from fernlake.llm.common import groups_by_size, materialise, parted, rows_of, without_keys
 from fernlake.llm.components import components
 from fernlake.llm.windows import BLOB, BLOB_SCHEMA, batch_of, blob_rows, bucket_count, doc_bucket, hash_bucket, rolling, unpack_all
 
@@ -230,7 +230,7 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFram
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     left = materialise(may_be_similar(pairs, distinct), "left")
     need = materialise(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "need")
-    sets = materialise(sets_of(docs.join(need, "doc_id", "left_semi")), "sets")
+    sets = materialise(sets_of(parted(docs, need, "doc_id")[0].join(need, "doc_id", "left_semi")), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,10 +296,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialise(sketches(docs), "sketches")
     firsts = materialise(found.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
-    ids = materialise(firsts.select(F.col("first").alias("doc_id")), "ids")  # whether it may be broadcast is for its true size to say
-    distinct = materialise(found.select("doc_id", "n", "fp", "bits").join(ids, "doc_id", "left_semi"), "distinct")
+    copies = materialise(found.select("doc_id", "digest").join(firsts, "digest").where("doc_id <> first").select("doc_id"), "copies")
+    distinct = materialise(without_keys(found.select("doc_id", "n", "fp", "bits"), copies, "doc_id"), "distinct")
     buckets = bucket_count(docs)
-    shared = counted(dealt(docs.join(ids, "doc_id", "left_semi"), buckets), buckets)
+    shared = counted(dealt(without_keys(docs, copies, "doc_id"), buckets), buckets)
     met = materialise(meetings(prefixes(shared, buckets)), "meetings")
     pairs = materialise(met.where("shingle is null").select("a", "b").union(near_fingerprints(distinct)).distinct(), "pairs")
     links = verified(pairs, distinct, docs)

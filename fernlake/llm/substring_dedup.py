@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlake.llm import windows
-from fernlake.llm.common import column, free_name, groups_by_size, keyed, rows_of, text_bytes, unique_ids
+from fernlake.llm.common import column, free_name, groups_by_size, keyed, materialise, parted, rows_of, text_bytes, unique_ids
 
 WIDTH = 20
 
@@ -116,12 +116,14 @@ def removals(docs: DataFrame, width: int = WIDTH, text: str = "text", keep_text:
 def applied(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows with the repeats cut from their text and n_chars, if there, counted anew; texts that lose every word go.
 
-    Texts are dealt out once, with all their columns, to meet the places of their repeats.
+    Texts that may have repeats are dealt out, with all their columns, to meet the places of these; the others stay where they are.
     """
     key, mark = free_name(docs, "row_id"), free_name(docs, "places")
     rows = unique_ids(docs, key)
     found = repeated(rows.select(F.col(key).alias("k"), F.lit(0).alias("c"), F.col("text").cast("string").alias("text")), width)
-    joined = rows.join(found.select(F.col("k").alias(key), F.col("places").alias(mark)), key, "left").select(*docs.columns, mark)
+    found = materialise(found.select(F.col("k").alias(key), F.col("places").alias(mark)), "places")
+    may, rest = parted(rows, found, key)
+    joined = may.join(found, key, "left").select(*docs.columns, mark).unionByName(rest.select(*docs.columns, F.lit(None).cast("binary").alias(mark)))
     names = list(docs.columns)
 
     def one(text: bytes | None, raw: bytes | None) -> str | None:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernlake.llm.common import materialise, parted
+
 MASK64 = (1 << 64) - 1
 #: Multiplier of the rolling hash: odd, 5 modulo 8.
 BASE = 0x9E3779B97F4A7C15 & ~7 | 5
@@ -213,4 +215,8 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 def with_places(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return docs.join(found, ["k", "c"], "left")
+    """docs and the columns of found, null where it has no row; only documents that may have one are dealt out."""
+    found = materialise(found, "places")
+    may, rest = parted(docs, found, "k")
+    own = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name not in ("k", "c")]
+    return rest.select("*", *own).unionByName(may.join(found, ["k", "c"], "left"))

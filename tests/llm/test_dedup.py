@@ -193,3 +193,23 @@ def test_components_of_a_long_chain(spark):
     found = {r["node"]: r["label"] for r in components.components(links).collect()}
     assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
     assert components.components(links.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("words", [1, 1 << 18])
+def test_without_keys(spark, monkeypatch, words):
+    from fernlake.llm import common
+
+    monkeypatch.setattr(common, "WORDS", words)  # one word: the bitmap soon is full, and the join decides alone
+    ids = [*range(-70, 300), 2**62, -(2**63)]
+    rows = spark.createDataFrame([(i, f"t{i}", i) for i in ids] + [(5, "again", 1)], "id long, text string, bitmap_word long")
+    gone = [i for i in ids if i % 3 == 0] + [10**9]
+    keys = common.materialise(spark.createDataFrame([(i,) for i in gone + gone[:2]], "id long"), "keys")
+    kept = common.without_keys(rows, keys, "id")
+    assert kept.columns == rows.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(t for t in map(tuple, rows.collect()) if t[0] not in gone)
+    may, rest = common.parted(rows, keys, "id")
+    assert {r["id"] for r in may.collect()} >= set(gone) & set(ids)
+    assert may.count() + rest.count() == rows.count()
+    assert common.without_keys(rows.limit(0), keys, "id").count() == 0
+    none = common.materialise(keys.limit(0), "none")
+    assert common.without_keys(rows, none, "id").count() == rows.count()
