@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlake.llm import bpe, decontaminate, near_copies, resample, substring_dedup
-from fernlake.llm.common import free_name, materialise, small_batches, unique_ids
+from fernlake.llm.common import free_name, materialise, small_batches, unique_ids, without_keys
 from fernlake.llm.queries import TOKENIZERS
 
 
 def without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """Rows whose key is not in gone, without the key.  gone is written first: whether it may be broadcast is for its true size to say."""
-    return rows.join(materialise(gone, "gone"), name, "left_anti").drop(name)
+    """Rows whose key is not in gone, without the key.  gone is written first, and only texts that may be in it are dealt out."""
+    return without_keys(rows, materialise(gone, "gone"), name).drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
