@@ -4,12 +4,15 @@ Each document has counts of words, word characters, symbols, duplicate lines and
 words in repeated three-word windows.  Documents that fail a base rule (few
 words, or mostly repeated ones) go; of the others the logarithms of the length
 and the rates form a vector.  For each language and source the
-minimum-covariance-determinant estimate of its location and scatter is found by
-concentration steps from a start of medians, and vectors of large Mahalanobis
-distance go.
+minimum-covariance-determinant estimate of its location and scatter is found,
+and vectors of large Mahalanobis distance go.  As in the deterministic form of
+that estimator, concentration steps begin at several robust starts (medians and
+deviations, all rows, spatial signs); after TRIED steps each group goes on from
+the start of least determinant until a step no longer lowers it.
 
 Vectors are integers (units of 1/SCALE), so sums are exact and the result does
-not depend on the order of the work; distances are put into bins (64 per unit of
+not depend on the order of the work (rows equal in distance bin are taken
+together); distances are put into bins (64 per unit of
 the logarithm) to find the nearest part of a group by counting, without sorting
 a group or bringing it together.  Each coordinate's variance has a floor, so a
 group where it is constant does no harm.  Sources with fewer than LEAST vectors
@@ -35,9 +38,14 @@ DIMENSIONS = 5
 #: last two, which are constant in most groups, at 2.5 to 3.2; symbols have no such cause.
 FLOORS = (0.3, 0.05, 0.25, 0.85, 0.85)
 LEAST = 200
-#: Part of a group that the estimate rests on, and concentration steps.
+PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
+#: Part of a group that the estimate rests on, and steps that every start gets.
 PART = 0.75
-STEPS = 4
+TRIED = 2
+#: A step counts if it lowers the logarithm of the determinant by so much.
+LOWERED = 1e-9
+#: Spatial signs are integers of this unit; the part of a coordinate's own variance added to their scatter.
+SIGN, RIDGE = 1 << 20, 0.01
 #: Median of chi-square with five degrees of freedom, and its 0.999 quantile, the squared distance beyond which vectors go.
 CHI_MEDIAN = 4.3515
 CUT = 20.515
@@ -121,7 +129,7 @@ def nearest(binned: DataFrame, part: float, value: str = "bin") -> DataFrame:
 
 
 def start(vectors: DataFrame) -> DataFrame:
-    """g, m0.. (medians) and a00.. (inverse deviations on the diagonal) to begin with."""
+    """g, m0.. (medians) and d0.. (robust deviations, not below their floors) to begin with."""
     long = vectors.select(F.col("g").alias("own"), F.posexplode(F.array(*[F.col(f"x{i}") for i in range(DIMENSIONS)])).alias("i", "x"))
     long = long.select("own", "i", "x", F.to_json(F.struct("own", "i")).alias("g"), F.floor(F.col("x") / 16).alias("bin"))
     middle = nearest(long, 0.5).withColumnRenamed("cut", "median")
@@ -129,13 +137,27 @@ def start(vectors: DataFrame) -> DataFrame:
     both = middle.join(spread, "g").select(F.get_json_object("g", "$.own").alias("g"), F.get_json_object("g", "$.i").cast("int").alias("i"), (F.col("median") * 16.0 + 8).alias("m"), F.col("cut").alias("d"))
     columns = []
     for i, floor in enumerate(FLOORS):
-        own = F.when(F.col("i") == i, F.col("m"))
-        columns.append(F.max(own).alias(f"m{i}"))
-        deviation = F.greatest(F.col("d") * 16 * 1.4826, F.lit(floor * SCALE))
-        columns += [F.max(F.when(F.col("i") == i, 1 / deviation)).alias(f"a{i}{i}")] + [F.lit(0.0).alias(f"a{i}{j}") for j in range(i)]
+        columns.append(F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m{i}"))
+        columns.append(F.max(F.when(F.col("i") == i, F.greatest(F.col("d") * 16 * 1.4826, F.lit(floor * SCALE)))).alias(f"d{i}"))
     return both.groupBy("g").agg(*columns)
 
 
+def starts(vectors: DataFrame) -> DataFrame:
+    """Parameters to begin with, three rows a group: own is the group, g the group and the start."""
+    p = range(DIMENSIONS)
+    middle = materialise(start(vectors), "medians")
+    medians = inverted(middle.select(F.concat(F.lit("m"), "g").alias("g"), *[f"m{i}" for i in p], *[(F.col(f"d{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]))
+    whole = estimate(vectors.withColumn("g", F.concat(F.lit("w"), "g")))
+    # Spatial signs: directions from the medians, in units of the deviations, without their lengths.
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in p]
+    length = F.sqrt(sum((x * x for x in z), F.lit(0.0)))
+    signs = vectors.join(middle, "g").select("g", *[F.when(length > 0, F.round(SIGN * x / length)).otherwise(0).cast("long").alias(f"u{i}") for i, x in enumerate(z)])
+    sums = signs.groupBy("g").agg(F.count("*").alias("n"), *[F.sum((F.col(f"u{i}") * F.col(f"u{j}")).cast("decimal(20,0)")).cast("double").alias(f"q{i}{j}") for i, j in PAIRS])
+    scatter = [(F.col(f"d{i}") * F.col(f"d{j}") * (DIMENSIONS * F.col(f"q{i}{j}") / F.col("n") / float(SIGN) ** 2 + (RIDGE if i == j else 0.0))).alias(f"c{i}{j}") for i, j in PAIRS]
+    directions = inverted(sums.join(middle, "g").select(F.concat(F.lit("s"), "g").alias("g"), *[f"m{i}" for i in p], *scatter))
+    return medians.unionByName(whole).unionByName(directions).withColumn("own", F.expr("substring(g, 2)"))
+
+
 def distance() -> Column:
     """Squared Mahalanobis distance: the length of the inverse Cholesky factor times the centred vector."""
     total = F.lit(0.0)
@@ -145,12 +167,9 @@ def distance() -> Column:
     return total
 
 
-def estimate(vectors: DataFrame) -> DataFrame:
-    """Location and inverse Cholesky factor of each group's rows, from exact integer sums."""
+def inverted(out: DataFrame) -> DataFrame:
+    """g, means m and covariances c -> g, m, the inverse Cholesky factor a, and logdet, the logarithm of the determinant."""
     p = range(DIMENSIONS)
-    pairs = [(i, j) for i in p for j in range(i + 1)]
-    sums = vectors.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(F.col(f"x{i}").cast("decimal(12,0)")).cast("double").alias(f"s{i}") for i in p], *[F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).cast("double").alias(f"q{i}{j}") for i, j in pairs])
-    out = sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in p], *[((F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")) / F.col("n") + F.lit((FLOORS[i] * SCALE) ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in pairs])
     for i in p:  # Cholesky factor l, then its inverse a, a column at a time
         for j in range(i):
             out = out.withColumn(f"l{i}{j}", (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}"))
@@ -159,21 +178,48 @@ def estimate(vectors: DataFrame) -> DataFrame:
         for j in range(i):
             out = out.withColumn(f"a{i}{j}", -sum((F.col(f"l{i}{k}") * F.col(f"a{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}"))
         out = out.withColumn(f"a{i}{i}", 1 / F.col(f"l{i}{i}"))
-    return out.select("g", *[f"m{i}" for i in p], *[f"a{i}{j}" for i, j in pairs])
+    logdet = sum((2 * F.log(f"l{i}{i}") for i in p), F.lit(0.0))
+    return out.select("g", *[f"m{i}" for i in p], *[f"a{i}{j}" for i, j in PAIRS], logdet.alias("logdet"))
+
+
+def estimate(vectors: DataFrame) -> DataFrame:
+    """Location, inverse Cholesky factor and determinant of each group's rows, from exact integer sums."""
+    p = range(DIMENSIONS)
+    sums = vectors.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(F.col(f"x{i}").cast("decimal(12,0)")).cast("double").alias(f"s{i}") for i in p], *[F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).cast("double").alias(f"q{i}{j}") for i, j in PAIRS])
+    return inverted(sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in p], *[((F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")) / F.col("n") + F.lit((FLOORS[i] * SCALE) ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]))
 
 
-def binned(vectors: DataFrame, parameters: DataFrame) -> DataFrame:
-    return vectors.join(parameters, "g").withColumn("d", distance()).withColumn("bin", F.floor(64 * F.log1p("d")))
+def binned(vectors: DataFrame, parameters: DataFrame, on: str = "g") -> DataFrame:
+    return vectors.join(parameters, on).withColumn("d", distance()).withColumn("bin", F.floor(64 * F.log1p("d")))
 
 
-def mcd(vectors: DataFrame, part: float = PART, steps: int = STEPS) -> DataFrame:
-    """Parameters of each group after the concentration steps, scaled so that the median distance is that of chi-square."""
+def concentrated(vectors: DataFrame, parameters: DataFrame, part: float) -> DataFrame:
+    """One concentration step: parameters anew from the given part of each group's vectors that is nearest by the present ones."""
     own = [f"x{i}" for i in range(DIMENSIONS)]
-    parameters = materialise(start(vectors), "mcd")
-    for _ in range(steps):
-        placed = binned(vectors, parameters).select("g", "bin", *own)
-        near = placed.join(nearest(placed, part), "g").where("bin <= cut")
-        parameters = materialise(estimate(near), "mcd")
+    placed = binned(vectors.withColumnRenamed("g", "own"), parameters, "own").select("g", "bin", *own)
+    near = placed.join(nearest(placed, part), "g").where("bin <= cut")
+    return estimate(near).join(parameters.select("g", "own"), "g")
+
+
+def mcd(vectors: DataFrame, part: float = PART) -> DataFrame:
+    """Parameters of each group of least determinant, scaled so that the median distance is that of chi-square."""
+    tried = materialise(starts(vectors), "mcd")
+    for _ in range(TRIED):
+        tried = materialise(concentrated(vectors, tried, part), "mcd")
+    names = [c for c in tried.columns if c != "own"]
+    best = tried.groupBy("own").agg(F.min(F.struct("logdet", "g", *[c for c in names if c not in ("logdet", "g")])).alias("b")).select("own", *[F.col(f"b.{c}").alias(c) for c in names])
+    done, going = None, materialise(best, "mcd")
+    while True:  # every step lowers a determinant, which the floors bound from below
+        new = materialise(concentrated(vectors, going, part), "mcd")
+        old = going.select("g", F.col("logdet").alias("before"))
+        lower = new.join(old, "g").where(F.col("logdet") < F.col("before") - LOWERED).drop("before")
+        lower = materialise(lower.select(*tried.columns), "mcd")
+        settled = going.join(lower.select("g"), "g", "left_anti").select(*tried.columns)
+        done = settled if done is None else done.unionByName(settled)
+        if lower.isEmpty():
+            break
+        going = lower
+    parameters = materialise(done.drop("g").withColumnRenamed("own", "g"), "mcd")
     middle = nearest(binned(vectors, parameters).select("g", "bin"), 0.5)
     scaled = parameters.join(middle, "g").withColumn("scale", F.greatest(F.exp((F.col("cut") + 0.5) / 64) - 1, F.lit(1e-3)) / CHI_MEDIAN)
     return materialise(scaled.drop("cut"), "mcd")
