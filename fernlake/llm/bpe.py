@@ -1,15 +1,16 @@
 """Exact byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 Every prefix of a pre-token has one last token that merging by rank can leave
-there: a vocabulary token that ends at the prefix, matched by a suffix
-automaton, whose pair with the last token of the rest is compatible.  Two
-tokens are compatible if no merge joins a token on the right edge of the first
+there: a vocabulary token that ends at the prefix, matched by an automaton
+of the vocabulary with suffix links (Aho-Corasick), whose pair with the last
+token of the rest is compatible.  Two tokens are compatible if no merge joins a token on the right edge of the first
 with one on the left edge of the second before either edge is itself merged
 away.  Back-pointers from the whole pre-token then spell its ids.
 
-Nulls are empty texts; empty texts have no ids.  Texts are encoded whole.
-Repeated rows give repeated rows.  Columns other than doc_id and text are not
-read, so names that clash do no harm.
+Nulls are empty texts; empty texts have no ids.  Texts are encoded whole, a very
+long one as a group by itself.  Repeated rows give repeated rows.  An empty table
+gives no row.  Columns other than doc_id and text are not read, so names that
+clash do no harm.
 """
 
 from __future__ import annotations
@@ -71,6 +72,8 @@ class WordBpe:
         self.cut_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        #: Without lookaround the pattern takes a piece by itself as one piece again, so what is kept of it as a chunk serves.
+        self.alone = "(?" not in split["pattern"]["Regex"]
         self.letters = byte_letters()
         #: rank of a pair of ids; what parts an id was merged from, and at which rank an edge goes.
         self.rank: dict[tuple[int, int], int] = {}
@@ -90,7 +93,7 @@ class WordBpe:
                 self.automaton.add_word(form, (len(form), i))
         self.automaton.make_automaton()
         self.pieces = Kept(self._piece, entries // 2)
-        self.chunks = Kept(self._chunk, entries)
+        self.chunks = Kept(self._chunk, entries + entries // 4)
 
     def edge(self, token: int, right: bool) -> tuple:
         """(edge token, rank of the merge that takes it away) from the token inwards."""
@@ -167,8 +170,12 @@ class WordBpe:
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         if chunk in self.special:
             return le32([self.special[chunk]]), chunk
-        found = [self.pieces[piece] for piece in self.pattern.findall(chunk)]
-        return found[0] if len(found) == 1 else (b"".join([i for i, _ in found]), " ".join([n for _, n in found]))
+        cut = self.pattern.findall(chunk)
+        if len(cut) == 1:  # kept as a chunk; room among the pieces is for parts of chunks
+            return self.pieces.get(cut[0]) or self._piece(cut[0])
+        known = self.chunks.get if self.alone else {}.get
+        found = [known(piece) or self.pieces[piece] for piece in cut]
+        return b"".join([i for i, _ in found]), " ".join([n for _, n in found])
 
     def normalise(self, text: str) -> str:
         if text.isascii():

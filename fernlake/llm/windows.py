@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernlake.llm.common import materialise, parted
+from fernlake.llm.common import give_back, materialise, parted
 
 MASK64 = (1 << 64) - 1
 #: Multiplier of the rolling hash: odd, 5 modulo 8.
@@ -179,6 +179,8 @@ def settle(blobs: DataFrame, buckets: int, verdict=not_first) -> DataFrame:
         order = np.lexsort((p, c, k))
         k, c, p = k[order], c[order], p[order]
         out += blob_rows(doc_bucket(k, c, buckets), True, k, c, p)
+        del rows, k, c, p, h, found, order
+        give_back()
         return pa.Table.from_batches([batch_of(out)] if out else [], BLOB_SCHEMA)
 
     return blobs.groupBy("bucket").applyInArrow(run, BLOB)
