@@ -78,74 +78,6 @@ def test_estimate_inverts_the_covariance(spark):
     cov = np.cov(x.T, bias=True) + np.diag([(f * quality_rules.SCALE) ** 2 for f in quality_rules.FLOORS])
     assert np.allclose(a @ cov @ a.T, np.eye(5), atol=1e-8)
     assert np.allclose([r[f"m{i}"] for i in range(5)], x.mean(axis=0))
-    assert np.isclose(r["logdet"], np.linalg.slogdet(cov)[1])
-
-
-def brute_mcd(x):
-    """Scaled distances of one group's integer vectors, with matrices and sorts."""
-    n, floors = len(x), np.diag([(f * quality_rules.SCALE) ** 2 for f in quality_rules.FLOORS])
-
-    def least(values, part):
-        return np.sort(values)[math.ceil(part * n) - 1]
-
-    def far(m, c):
-        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-
-    def bins(m, c):
-        return np.floor(64 * np.log1p(far(m, c)))
-
-    def fitted(rows):
-        return rows.mean(axis=0), np.cov(rows.T, bias=True) + floors
-
-    def step(m, c):
-        b = bins(m, c)
-        return fitted(x[b <= least(b, quality_rules.PART)])
-
-    b = np.floor(x / 16)
-    middle = np.array([least(col, 0.5) for col in b.T])
-    d = np.array([max(least(abs(b[:, i] - middle[i]), 0.5) * 16 * 1.4826, f * quality_rules.SCALE) for i, f in enumerate(quality_rules.FLOORS)])
-    m = middle * 16 + 8
-    u = (x - m) / d
-    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
-    tried = [(m, np.diag(d**2)), fitted(x), (m, np.outer(d, d) * (5 * u.T @ u / n + 0.01 * np.eye(5)))]
-    for _ in range(quality_rules.TRIED):
-        tried = [step(*t) for t in tried]
-    best = min(tried, key=lambda t: np.linalg.slogdet(t[1])[1])
-    while np.linalg.slogdet((new := step(*best))[1])[1] < np.linalg.slogdet(best[1])[1] - quality_rules.LOWERED:
-        best = new
-    scale = (math.exp((least(bins(*best), 0.5) + 0.5) / 64) - 1) / quality_rules.CHI_MEDIAN
-    return far(*best) / max(scale, 1.0), len({round(np.linalg.slogdet(t[1])[1], 6) for t in tried})
-
-
-def test_verdicts_against_matrices(spark):
-    """kept and distance by group; a group of ties, small and null groups, a third of the rows far off."""
-    rng = random.Random(5)
-    rows = []
-    for i in range(1500):
-        lang, source = [("en", "s0"), ("en", "s1"), (None, "s0"), ("de", None), ("xx", "s9")][i % 5]
-        words = [rng.choice("abcdefgh") * rng.randrange(2, 9) + str(rng.randrange(10**6)) for _ in range(rng.randrange(60, 400))]
-        if source == "s1":
-            words = [f"word{j}" for j in range(60)]  # all alike
-        elif rng.random() < 0.3:
-            words = [w * rng.randrange(1, 4) + "#" * rng.randrange(4) for w in words]
-            if rng.random() < 0.5:
-                words = words + words[: len(words) // 3]
-        rows.append((i, " ".join(words), lang, source if lang != "xx" else f"s{i}"))
-    found = {r["doc_id"]: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()}
-    groups = collections.defaultdict(list)
-    for i, text, lang, source in rows:
-        n, chars, symbols, lines, repeats = statistics(text)
-        if n >= 50 and 100 * repeats <= 50 * n:
-            v = [math.log(n), math.log(chars / n), math.log1p(100 * symbols / n), math.log1p(1000 * lines / n), math.log1p(100 * repeats / n)]
-            groups[lang, source if lang != "xx" else None].append((i, [round(a * quality_rules.SCALE) for a in v]))
-        else:
-            assert not found[i]["kept"]
-    for members in groups.values():
-        want, _ = brute_mcd(np.array([v for _, v in members], float))
-        got = np.array([found[i]["distance"] for i, _ in members])
-        assert np.allclose(got, want, rtol=1e-6, atol=1e-6)
-        assert [found[i]["kept"] for i, _ in members] == (want <= quality_rules.CUT).tolist()
-    assert len(groups) == 5 and any(not found[i]["kept"] for i, _ in groups["en", "s0"])
 
 
 def test_nearest_part(spark):
