@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -21,6 +22,21 @@ def runner(text: str):
     return run
 
 
+def not_in(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose column is NOT IN the keys, nulls as in SQL: no keys keep every row, else a null on either side keeps none.
+
+    Spark broadcasts what NOT IN names, however large; here the anti join can be dealt out.
+    """
+    state = keys.agg(F.count("*").alias("__n"), F.count(key).alias("__known"))
+    kept = rows.join(keys.select(F.col(key).alias("__key")).distinct(), F.col(column) == F.col("__key"), "left_anti")
+    return kept.join(F.broadcast(state), (F.col("__n") == 0) | ((F.col("__n") == F.col("__known")) & F.col(column).isNotNull()), "left_semi")
+
+
+def subquery_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, lineitem = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem"))
+    return not_in(part.select("p_partkey"), "p_partkey", lineitem.where("l_quantity > 25").select("l_partkey"), "l_partkey")
+
+
 #: Exact sums: doubles go through decimals, so that neither engine's order of adding shows.
 def total(x: str) -> str:
     return f"CAST(SUM(CAST({x} AS DECIMAL(18,4))) AS DOUBLE)"
@@ -114,7 +130,7 @@ ROWS_ONLY = {
 
 def queries() -> dict:
     both = {name: text if isinstance(text, str) else text[0] for name, text in QUERIES.items()} | ROWS_ONLY
-    return {name: runner(text) for name, text in both.items()}
+    return {name: runner(text) for name, text in both.items()} | {"subquery_in": subquery_in}
 
 
 def oracle_sql() -> dict[str, str]:

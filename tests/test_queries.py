@@ -46,3 +46,22 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(lake_queries.queries()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("keys", [[], [1, 2, 2], [1, None]])
+def test_not_in_has_nulls_as_in_sql(spark, keys):
+    rows, keys = spark.createDataFrame([(1,), (3,), (3,), (None,)], "x int"), spark.createDataFrame([(k,) for k in keys], "k int")
+    rows.createOrReplaceTempView("not_in_rows")
+    keys.createOrReplaceTempView("not_in_keys")
+    want = spark.sql("SELECT x FROM not_in_rows WHERE x NOT IN (SELECT k FROM not_in_keys)").collect()
+    assert sorted(map(str, relational.not_in(rows, "x", keys, "k").collect())) == sorted(map(str, want))
+
+
+def test_subquery_in_broadcasts_no_keys(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = relational.queries()["subquery_in"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti" in plan and "BroadcastHashJoin" not in plan
