@@ -14,6 +14,8 @@ from fernlake.sources.snapshot import Snapshot
 
 #: Hidden columns that say where a row lies.
 FILE, ROW = "__file", "__row"
+#: Bytes that a deleted position takes in a join's table, besides its file's name.
+POSITION_BYTES = 64
 
 
 @dataclass
@@ -95,6 +97,10 @@ def scan(
         if has_vector:
             vectors = {v["path"]: v for p in paths for v in deleted[p]}
             gone = spark.read.schema("file string, row long").parquet(*vectors).where(F.col("file").isin(paths)).distinct()
+            # Positions pack so well that their files' size says nothing about what they take in memory.
+            held = sum(v["card"] * (len(p) + POSITION_BYTES) for p in paths for v in deleted[p])
+            if held > spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+                gone = gone.hint("merge")
             df = df.join(gone, (df[FILE] == gone["file"]) & (df[ROW] == gone["row"]), "left_anti")
         part = aligned(df, wanted, hidden)
         out = part if out is None else out.unionByName(part)
