@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlake.functions import json as J
+from fernlake.operators import maintain
 from fernlake.plans.front import Lake
 from fernlake.sources.scratch import scratch
 
@@ -213,9 +214,10 @@ def prune_parity_eq(spark, sf_dir):
 def compaction_parity(spark, sf_dir):
     lake = lake_of(spark, sf_dir, parts=6)
     lake.delete("events", "event_id % 13 = 0")
+    size = sum(f["bytes"] for f in lake.log.snapshot().visible("public.events"))
     assert lake.compact("events")
     state = lake.log.snapshot()
-    assert len(state.visible("public.events")) == 1 and not state.live_vectors()
+    assert len(state.visible("public.events")) <= max(1, -(-size // maintain.TARGET_BYTES)) and not state.live_vectors()
     return lake.table("events")
 
 

@@ -65,3 +65,10 @@ def test_subquery_in_broadcasts_no_keys(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "LeftAnti" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_compaction_to_several_files(spark, oracle, monkeypatch):
+    monkeypatch.setattr(lake_queries.maintain, "TARGET_BYTES", 10_000)
+    rows = lake_queries.queries()["compaction_parity"](spark, SF).collect()
+    want = oracle.sql(registry.oracle_sql()["compaction_parity"]).fetchall()
+    assert sorted(r["event_id"] for r in rows) == sorted(r[0] for r in want)
