@@ -20,7 +20,7 @@ import json
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -60,7 +60,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """The encoder of a tokenizer file of kind BPE with word ends."""
 
-    def __init__(self, path: str, entries: int = 400_000) -> None:
+    def __init__(self, path: str, entries: int = 200_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -163,19 +163,17 @@ class WordBpe:
             end -= size[end]
         return ids[::-1]
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        ids = self.word(piece)
-        return le32(ids), " ".join([self.names[i] for i in ids])
+    def _piece(self, piece: str) -> bytes:
+        return le32(self.word(piece))
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+    def _chunk(self, chunk: str) -> bytes:
         if chunk in self.special:
-            return le32([self.special[chunk]]), chunk
+            return le32([self.special[chunk]])
         cut = self.pattern.findall(chunk)
         if len(cut) == 1:  # kept as a chunk; room among the pieces is for parts of chunks
             return self.pieces.get(cut[0]) or self._piece(cut[0])
         known = self.chunks.get if self.alone else {}.get
-        found = [known(piece) or self.pieces[piece] for piece in cut]
-        return b"".join([i for i, _ in found]), " ".join([n for _, n in found])
+        return b"".join([known(piece) or self.pieces[piece] for piece in cut])
 
     def normalise(self, text: str) -> str:
         if text.isascii():
@@ -190,14 +188,12 @@ class WordBpe:
                 row += [part] if part in self.special else spaced(self.normalise(part))
         else:
             row = spaced(self.normalise(text))
-        if not row:
-            return b"", ""
-        ids, names = zip(*map(self.chunks.__getitem__, row), strict=True)
-        return b"".join(ids), " ".join(names)
+        ids = b"".join(map(self.chunks.__getitem__, row))
+        return ids, self.decode(from32(ids))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The tokens joined by spaces: the file names no decoder."""
-        return " ".join(self.names[i] for i in ids)
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 def le32(ids: list[int]) -> bytes:
@@ -207,6 +203,13 @@ def le32(ids: list[int]) -> bytes:
     return held.tobytes()
 
 
+def from32(raw: bytes) -> array:
+    held = array("I", raw)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordBpe:
     return WordBpe(path)
