@@ -36,10 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Arrow batches of the session hold 1000 rows at most: batches of whole texts otherwise take tens of MB in every task, twice."""
+    """Lets Arrow batches of the session hold 250 rows at most: batches of whole texts, or of blobs of tens of KB, otherwise take tens of MB in every task, twice."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= 1000:
-        spark.conf.set(name, "1000")
+    if not 0 < int(spark.conf.get(name)) <= 250:
+        spark.conf.set(name, "250")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
