@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlake.llm import windows
-from fernlake.llm.common import NULL_KEY, groups_by_size, join_split, keyed, materialise, rows_of
+from fernlake.llm.common import NULL_KEY, give_back, groups_by_size, join_split, keyed, materialise, rows_of
 
 WIDTH = 100
 #: Bytes of text a task works on at once, and of a long text cut off as one piece.
@@ -55,6 +55,8 @@ PIECE = 1 << 20
 #: Bytes of runs whose suffixes are sorted as one shard, and of runs whose shards are merged at a time (more if one anchor has more).
 SHARD = 1 << 17
 MERGED = 1 << 19
+#: Settled places that are unpacked at a time.
+PLACES = 1 << 19
 #: Symbols by which the first interleave goes, as many as fit a number at 9 bits each.
 PACKED = 7
 #: A run as one number: start << 28 | strings in it << 14 | offset of the anchor.
@@ -153,7 +155,7 @@ def send_runs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     anchor = xxhash.xxh3_64_intdigest(text[start + offset : start + offset + gram])
                     ready[(anchor >> 32) * buckets >> 32].append((k, c, start, offset, own))
             out = [(bucket, False, pack_runs(rows)) for bucket, rows in ready.items()]
-            out += settled_rows(*spread(repeats), buckets)
+            out += settled_stretches(repeats, buckets)
             for part in groups_by_size(iter(out), lambda r: len(r[2]), 4 << 20):
                 yield windows.batch_of(part)
 
@@ -173,6 +175,12 @@ def settled_rows(k: np.ndarray, c: np.ndarray, p: np.ndarray, buckets: int) -> l
     return list(windows.blob_rows(windows.doc_bucket(k, c, buckets), True, k, c, p))
 
 
+def settled_stretches(stretches: list[tuple[int, int, int, int]], buckets: int) -> Iterator[tuple[int, bool, bytes]]:
+    """Rows of the places of stretches, some at a time: a place takes a hundred bytes until it is packed."""
+    for part in groups_by_size(iter(stretches), lambda s: s[3], PLACES):
+        yield from settled_rows(*spread(part), buckets)
+
+
 # --- Burrows-Wheeler transforms ----------------------------------------------
 
 
@@ -331,8 +339,10 @@ def settle_runs(blobs: DataFrame, width: int, buckets: int) -> DataFrame:
 
     def run(key, group):
         rows = list(zip(group.column("repeats").to_pylist(), group.column("blob").to_pylist(), strict=True))
-        k, c, p, _ = windows.unpack_all([b for done, b in rows if done])
-        out = list(windows.blob_rows(windows.doc_bucket(k, c, buckets), True, k, c, p))
+        out = []
+        for part in groups_by_size(((b,) for done, b in rows if done), lambda r: windows.places_in(r[0]), PLACES):
+            k, c, p, _ = windows.unpack_all([b for (b,) in part])
+            out += settled_rows(k, c, p, buckets)
         found = sorted(x for done, b in rows if not done for x in unpack_runs(b))
         repeats: list[tuple[int, int, int, int]] = []
         seen: dict[bytes, tuple[int, int, int]] = {}
@@ -343,7 +353,8 @@ def settle_runs(blobs: DataFrame, width: int, buckets: int) -> DataFrame:
                 repeats.append((k, c, start, len(own) - width + 1))
             elif not families[anchor := own[offset : offset + width // 2]] or families[anchor][-1] != (k, c, start, own):
                 families[anchor].append((k, c, start, own))
-        out += settled_rows(*spread(repeats), buckets)
+        out += settled_stretches(repeats, buckets)
+        del rows, found, seen, repeats
         # Distinct runs with an anchor in common, and only they, can share some of their strings.
         shared = ((members, sum(len(r[3]) for r in members)) for members in families.values() if len(members) > 1)
         for part in groups_by_size(shared, lambda m: m[1], MERGED):
@@ -353,6 +364,9 @@ def settle_runs(blobs: DataFrame, width: int, buckets: int) -> DataFrame:
             later = np.flatnonzero(block[1:] == block[:-1]) + 1
             k, c, start = (np.array([r[i] for r in mixed], np.int64)[owner[later]] for i in range(3))
             out += settled_rows(k, c, start + offset[later], buckets)
+            del mixed, owner, offset, block, later, k, c, start
+        families.clear()
+        give_back()
         return pa.Table.from_batches([windows.batch_of(out)] if out else [], windows.BLOB_SCHEMA)
 
     return blobs.groupBy("bucket").applyInArrow(run, windows.BLOB)

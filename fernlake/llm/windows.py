@@ -104,6 +104,10 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return *(unplanes(x, n) for x in parts[:3]), np.frombuffer(parts[3], "<u8")
 
 
+def places_in(raw: bytes) -> int:
+    return int(np.frombuffer(raw, "<u8", 1)[0])
+
+
 def unpack_all(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     found = [unpack(b) for b in blobs]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
@@ -197,7 +201,10 @@ def places_by_document(settled: DataFrame) -> DataFrame:
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
         starts = np.flatnonzero(new)
         parts = [planes(np.unique(x)) for x in np.split(p, starts[1:])]
-        return pa.table([pa.array(k[starts]), pa.array(c[starts].astype(np.int32)), pa.array(parts, pa.binary())], schema=schema)
+        k, c = k[starts], c[starts].astype(np.int32)
+        del p, order, new
+        give_back()
+        return pa.table([pa.array(k), pa.array(c), pa.array(parts, pa.binary())], schema=schema)
 
     return settled.groupBy("bucket").applyInArrow(run, "k long, c int, places binary")
 

@@ -213,3 +213,13 @@ def test_without_keys(spark, monkeypatch, words):
     assert common.without_keys(rows.limit(0), keys, "id").count() == 0
     none = common.materialise(keys.limit(0), "none")
     assert common.without_keys(rows, none, "id").count() == rows.count()
+
+
+def test_settled_stretches_unpack_a_bounded_number_of_places(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PLACES", 10)
+    stretches = [(i % 3, 0, 100 * i, 4) for i in range(9)] + [(7, 1, 5, 25)]
+    sizes, spread = [], suffix_dedup.spread
+    monkeypatch.setattr(suffix_dedup, "spread", lambda part: sizes.append(sum(s[3] for s in part)) or spread(part))
+    k, c, p, _ = suffix_dedup.windows.unpack_all([blob for _, _, blob in suffix_dedup.settled_stretches(stretches, 4)])
+    assert sorted(zip(k.tolist(), c.tolist(), p.tolist(), strict=True)) == sorted((a, b, s + i) for a, b, s, n in stretches for i in range(n))
+    assert sizes == [8, 8, 8, 8, 4, 25]
