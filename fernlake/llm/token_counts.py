@@ -19,6 +19,7 @@ import math
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,6 +30,9 @@ from fernlake.llm.common import groups_by_size, rows_of
 
 #: A forward score is cost << COUNT_BITS | tokens.
 COUNT_BITS = 40
+#: No path to a node yet; one pre-token, in a number above cost and tokens.
+WORST = 1 << 100
+ONE = 1 << 112
 GROUP_BYTES = 4 << 20
 
 
@@ -40,61 +44,73 @@ def unigram_costs(rank_file: str) -> dict[bytes, int]:
 
 
 class PrefixTrie:
-    """Trie of byte strings with a forward score at each node; nodes are found by their prefix."""
+    """Trie of byte strings with a forward score at each node, walked along one branch.
+
+    Words are best given in order: all that a word shares with earlier ones then
+    lies on the branch of the word before.  An automaton of the tokens (Aho-Corasick)
+    names, for each new node, just the tokens that end there.
+    """
 
     def __init__(self, costs: dict[bytes, int]) -> None:
-        self.steps = {token: cost << COUNT_BITS | 1 for token, cost in costs.items()}
         self.longest = max(map(len, costs), default=0)
         if any(bytes([b]) not in costs for b in range(256)):
             raise ValueError("every single byte needs a cost")
+        self.tokens = ahocorasick.Automaton()
+        for token, cost in costs.items():
+            if token:
+                self.tokens.add_word(token.decode("latin-1"), (len(token) - 1, cost << COUNT_BITS | 1))
+        self.tokens.make_automaton()
         self.forward: dict[bytes, int] = {}
+        self.branch, self.path = b"", [0]
         self.scored = 0
 
     def terminal(self, word: bytes) -> int:
         """The score at the word's node; nodes missing on the way are inserted."""
-        forward, steps, longest = self.forward, self.steps, self.longest
-        known = forward.get(word)
+        known = self.forward.get(word)
         if known is not None:
             return known
-        n = len(word)
-        shared = n - 1
-        while shared and word[:shared] not in forward:
-            shared -= 1
-        path = [0, *(forward[word[:d]] for d in range(1, shared + 1))]
-        for d in range(shared + 1, n + 1):
-            best = None
-            for start in range(max(0, d - longest), d):
-                step = steps.get(word[start:d])
-                if step is not None and (best is None or path[start] + step < best):
-                    best = path[start] + step
-            path.append(best)
-            forward[word[:d]] = best
-        self.scored += n - shared
-        return path[n]
+        shared = 0
+        for x, y in zip(self.branch, word, strict=False):
+            if x != y:
+                break
+            shared += 1
+        # path[d] is the score of the prefix of d bytes; a new node's is the least over the tokens that end at it.
+        path = self.path
+        del path[shared + 1 :]
+        path += [WORST] * (len(word) - shared)
+        for end, (before, step) in self.tokens.iter(word.decode("latin-1"), max(0, shared + 1 - self.longest)):
+            if end >= shared:
+                score = path[end - before] + step
+                if score < path[end + 1]:
+                    path[end + 1] = score
+        self.branch = word
+        self.scored += len(word) - shared
+        self.forward[word] = path[-1]
+        return path[-1]
 
 
 class Counter:
     def __init__(self, rank_file: str, pattern: str, entries: int = 400_000) -> None:
-        self.costs = unigram_costs(rank_file)
+        self.trie = PrefixTrie(unigram_costs(rank_file))
         self.pattern = regex.compile(pattern)
         self.cache = Cache(self._fill, entries)
 
-    def _fill(self, new: list[str]) -> list[tuple[int, int, int]]:
-        """(pre-tokens, tokens, cost) of each chunk."""
+    def _fill(self, new: list[str]) -> list[int]:
+        """Pre-tokens, cost and tokens of each chunk, as one number."""
         pieces = [[p.encode() for p in self.pattern.findall(c)] for c in new]
-        trie, scores = PrefixTrie(self.costs), {}
-        # In order, prefixes are shared by neighbours; a long pre-token leaves no trace of its many prefixes.
+        trie, scores = self.trie, {}
+        # In order, prefixes are shared by neighbours.
         for word in sorted({p for row in pieces for p in row}):
-            if len(word) > 256 or len(trie.forward) > 400_000:
-                trie.forward.clear()
             scores[word] = trie.terminal(word)
-        mask = (1 << COUNT_BITS) - 1
-        return [(len(row), sum(scores[p] & mask for p in row), sum(scores[p] >> COUNT_BITS for p in row)) for row in pieces]
+        trie.forward.clear()
+        return [ONE + scores[row[0]] if len(row) == 1 else len(row) * ONE + sum([scores[p] for p in row]) for row in pieces]
 
     def count_batch(self, texts: list[str]) -> list[tuple[int, int, int]]:
+        """(pre-tokens, tokens, cost) of each text."""
         rows = [chunks(t) for t in texts]
         known = self.cache.of(rows)
-        return [tuple(map(sum, zip(*map(known, row), strict=True))) if row else (0, 0, 0) for row in rows]
+        totals = [sum(map(known, row)) for row in rows]
+        return [(t // ONE, t & (1 << COUNT_BITS) - 1, t % ONE >> COUNT_BITS) for t in totals]
 
 
 @lru_cache(maxsize=2)

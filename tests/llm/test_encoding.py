@@ -168,3 +168,22 @@ def test_unigram_agrees_with_library(tokenizers_dir):
     for _ in range(200):
         word = "".join(rng.choice("aeinorstlhd") for _ in range(rng.randrange(1, 15)))
         assert sum(names[t] for t in library.encode(word).tokens) == best_cut(word.encode(), costs)[0]
+
+
+def test_trie_looks_only_at_tokens_that_end_at_a_node(tokenizers_dir):
+    costs = token_counts.unigram_costs(f"{tokenizers_dir}/byte_bpe_50k.tiktoken")
+    trie = token_counts.PrefixTrie(costs)
+    words = [b"walking", b"walked", b"a" * 300, b"walk", "été".encode(), bytes(range(256)), b"walker", b"b"]
+    for word in words:
+        found = trie.terminal(word)
+        assert (found >> token_counts.COUNT_BITS, found & (1 << token_counts.COUNT_BITS) - 1) == best_cut(word, costs)
+        assert trie.branch == word and len(trie.path) == len(word) + 1
+
+
+def test_bpe_caches_hold_ids_alone(tokenizers_dir, word_library):
+    model = bpe.WordBpe(f"{tokenizers_dir}/word_bpe_49k.json")
+    text = "Cached words, and <|endoftext|> cached again"
+    ids, decoded = model.encode(text)
+    expected = ids_of(word_library, text)
+    assert np.frombuffer(ids, "<u4").tolist() == expected and decoded == word_library.decode(expected, skip_special_tokens=False)
+    assert model.chunks and all(type(v) is bytes for v in [*model.chunks.values(), *model.pieces.values()])
