@@ -37,6 +37,8 @@ from fernlake.llm.common import fresh_path, groups_by_size, materialise, read_fi
 MAGIC = b"FLHUF001"
 LIMIT = 16
 BLOCK = 512
+#: Ids coded at a time; whole blocks.
+PACKED_IDS = 128 * BLOCK
 FILE_IDS = 8_000_000
 GROUP_BYTES = 16 << 20
 #: Chunks that one call encodes together.
@@ -84,9 +86,10 @@ class ByteBpe:
         lists = pc.split_pattern(pa.array(["" if "\0" in t else c for t, c in zip(texts, cut, strict=True)], pa.large_string()), "\0")
         numbered = lists.flatten().dictionary_encode()
         names, kept = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), self.kept
-        new = [c for c in names if c not in kept]
+        own = list(map(kept.get, names))
+        new = [c for c, ids in zip(names, own, strict=True) if ids is None]
         passing = self._work(new)
-        own = [kept[c] if c in kept else passing[c] for c in names]
+        own = [passing[c] if ids is None else ids for c, ids in zip(names, own, strict=True)]
         for c in new:
             if len(kept) >= self.entries:
                 break
@@ -98,7 +101,9 @@ class ByteBpe:
         index = numbered.indices.to_numpy()
         lengths = size[index]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        places = np.arange(ends[-1]) + np.repeat(at[index] - ends[:-1], lengths)
+        kind = np.int32 if ends[-1] + len(pool) < 1 << 31 else np.int64
+        places = np.arange(ends[-1], dtype=kind)
+        places += np.repeat((at[index] - ends[:-1]).astype(kind), lengths)
         raw, width = pool[places].tobytes(), pool.itemsize
         borders = (ends[lists.offsets.to_numpy()] * width).tolist()
         out = [raw[a:b] for a, b in zip(borders, borders[1:], strict=False)]
@@ -155,21 +160,29 @@ def pack(documents: list[tuple[int | None, bytes]], lengths: np.ndarray, unit: s
     """A file's bytes from (doc_id, ids in numbers of kind unit); lengths has the code length of every id."""
     symbols = np.flatnonzero(lengths).astype(np.uint32)
     sym, lens, codes = canonical(symbols, lengths[symbols])
-    code_of, length_of = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
+    code_of, length_of = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.uint8)
     code_of[sym], length_of[sym] = codes.astype(np.uint64), lens
     ids = np.frombuffer(b"".join(i for _, i in documents), unit)
     bits = length_of[ids]
     if len(ids) and not bits.all():
         raise ValueError("an id has no code")
-    ends = np.cumsum(bits)
-    starts = ends - bits
-    total = int(ends[-1]) if len(ids) else 0
-    # A code lies in one or two words: put it into 64 bits from its first word on.
-    placed = code_of[ids] << (64 - (starts & 31) - bits).astype(np.uint64)
-    word = starts >> 5
+    total = int(bits.sum(dtype=np.int64))
     size = (total + 31) // 32 + 3
-    payload = np.bincount(word, (placed >> np.uint64(32)).astype(np.float64), size) + np.bincount(word + 1, (placed & np.uint64(0xFFFFFFFF)).astype(np.float64), size)
-    offsets = starts[::BLOCK].astype("<u8")
+    payload, offsets, at = np.zeros(size, np.uint32), [np.zeros(0, np.int64)], 0
+    for i in range(0, len(ids), PACKED_IDS):  # so many at a time stay in the processor's cache
+        own = bits[i : i + PACKED_IDS].astype(np.int64)
+        ends = at + np.cumsum(own)
+        starts = ends - own
+        offsets.append(starts[::BLOCK])
+        # A code lies in one or two words: put it into 64 bits from its first word on.
+        placed = code_of[ids[i : i + PACKED_IDS]] << (64 - (starts & 31) - own).astype(np.uint64)
+        word = starts >> 5
+        new = np.flatnonzero(np.diff(word, prepend=-1))
+        word, joined = word[new], np.bitwise_or.reduceat(placed, new)
+        payload[word] |= (joined >> np.uint64(32)).astype(np.uint32)
+        payload[word + 1] |= (joined & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        at = int(ends[-1])
+    offsets = np.concatenate(offsets).astype("<u8")
     ids_of = np.array([d or 0 for d, _ in documents], "<i8")
     nulls = np.array([d is None for d, _ in documents], np.uint8)
     counts = np.array([len(i) // ids.itemsize for _, i in documents], "<u8")
@@ -287,13 +300,13 @@ def write_files(docs: DataFrame, path: str, end_id: int, text: str = "text", to:
     return to, [(r["file"], r["docs"], r["ids"]) for r in sorted(files, key=lambda r: (r["part"], r["seq"]))]
 
 
-def read_files(spark, files: list[tuple[str, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian, 32 bits) of each document of the files, given in order."""
+def read_files(spark, files: list[tuple[str, int, int]], keep_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, and with keep_ids the ids (little-endian, 32 bits) of each document of the files, given in order."""
     base, rows = 0, []
     for name, _, n in files:
         rows.append((name, base))
         base += n
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.binary())] if keep_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, start in rows_of(batches, "file", "base"):
@@ -303,13 +316,14 @@ def read_files(spark, files: list[tuple[str, int, int]]) -> DataFrame:
             raw = ids.astype("<u4").tobytes()
             for group in groups_by_size(spans, lambda s: 4 * (s[2] - s[1]), GROUP_BYTES):
                 cut = [raw[4 * a : 4 * b] for _, a, b in group]
-                yield pa.record_batch([pa.array([d for d, _, _ in group], pa.int64()), pa.array([start + a for _, a, _ in group]), pa.array([b - a for _, a, b in group]), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(cut, pa.binary())], schema=schema)
+                own = [pa.array(cut, pa.binary())] if keep_ids else []
+                yield pa.record_batch([pa.array([d for d, _, _ in group], pa.int64()), pa.array([start + a for _, a, _ in group]), pa.array([b - a for _, a, b in group]), pa.array([zlib.crc32(c) for c in cut], pa.int64()), *own], schema=schema)
 
     frame = spark.createDataFrame(rows, "file string, base long").repartition(max(len(rows), 1))
-    return frame.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return frame.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
 
 
-def token_files(docs: DataFrame, path: str, end_id: int = 2, text: str = "text") -> DataFrame:
+def token_files(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", keep_ids: bool = True) -> DataFrame:
     """Write the files of a corpus and read them back."""
     _, files = write_files(docs, path, end_id, text)
-    return read_files(docs.sparkSession, files)
+    return read_files(docs.sparkSession, files, keep_ids)

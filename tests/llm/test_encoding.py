@@ -187,3 +187,19 @@ def test_bpe_caches_hold_ids_alone(tokenizers_dir, word_library):
     expected = ids_of(word_library, text)
     assert np.frombuffer(ids, "<u4").tolist() == expected and decoded == word_library.decode(expected, skip_special_tokens=False)
     assert model.chunks and all(type(v) is bytes for v in [*model.chunks.values(), *model.pieces.values()])
+
+
+def test_token_files_without_ids(docs, tokenizers_dir):
+    path = f"{tokenizers_dir}/byte_bpe_50k.json"
+    whole = huffman.token_files(docs, path).drop("ids")
+    bare = huffman.token_files(docs, path, keep_ids=False)
+    assert bare.columns == whole.columns and sorted(map(tuple, bare.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
+def test_pack_in_parts(monkeypatch):
+    ids = np.random.default_rng(1).geometric(0.01, 5000).astype("<u2")
+    lengths = huffman.code_lengths(np.bincount(ids))
+    whole = huffman.pack([(1, ids.tobytes())], lengths, "<u2")
+    monkeypatch.setattr(huffman, "PACKED_IDS", huffman.BLOCK)
+    assert huffman.pack([(1, ids.tobytes())], lengths, "<u2") == whole
+    assert huffman.unpack(whole)[2].tolist() == ids.tolist()
